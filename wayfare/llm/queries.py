@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op6_bpe
 from .packing import op1_packing
+from .sstable import op7_sstable
 from .token_counts import op9_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op9_token_counts)}
+    return {f.__name__: f for f in (op1_packing, op6_bpe, op7_sstable, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
