@@ -9,14 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op6_bpe
 from .packing import op1_packing
 from .quality import OP8_SQL, op8_quality
+from .quotation import OP10_SQL, op10_quotation
 from .sharding import op2_sharding
 from .sstable import op7_sstable
 from .token_counts import op9_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_sharding, op6_bpe, op7_sstable, op8_quality, op9_token_counts)}
+    return {f.__name__: f for f in (op1_packing, op2_sharding, op6_bpe, op7_sstable, op8_quality, op9_token_counts, op10_quotation)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality": OP8_SQL}
+    return {"op8_quality": OP8_SQL, "op10_quotation": OP10_SQL}
