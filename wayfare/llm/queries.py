@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op6_bpe
+from .fingerprints import op3_fingerprints
 from .packing import op1_packing
 from .quality import OP8_SQL, op8_quality
 from .quotation import OP10_SQL, op10_quotation
@@ -16,7 +17,7 @@ from .token_counts import op9_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_sharding, op6_bpe, op7_sstable, op8_quality, op9_token_counts, op10_quotation)}
+    return {f.__name__: f for f in (op1_packing, op2_sharding, op3_fingerprints, op6_bpe, op7_sstable, op8_quality, op9_token_counts, op10_quotation)}
 
 
 def oracle_sql() -> dict[str, str]:
