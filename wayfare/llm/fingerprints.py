@@ -1,11 +1,11 @@
 """Document fingerprints from invertible Bloom lookup sketches of paragraphs.
 
 A text is cut into short paragraphs (at line feeds and sentence ends, long ones every 200 characters); their 64-bit digests
-form a set. A sketch has 24 cells in three rows of eight; a digest enters one cell of each row. A cell holds the xor of
+form a set. A sketch has 32 cells in four rows of eight; a digest enters one cell of each row. A cell holds the xor of
 its digests and the sum of their tags (2^32 plus a 32-bit hash), so that the sum tells both their number and whether
 the xor is a single digest. Two sketches subtract cell by cell; cells of single digests are peeled until nothing is
 left, which recovers the digests in which the texts differ. If that fails, the texts' digests are spread over a power of two
-of drawers by their leading bits, each with 24 cells, as many as the first try's counts suggest, then twice and four
+of drawers by their leading bits, each with 32 cells, as many as the first try's counts suggest, then twice and four
 times as many. What even that can't peel is told by the digests themselves.
 
 The fingerprint is the one-drawer sketch with the text's length and hash. Likeness is the Jaccard similarity of the two sets of
@@ -41,14 +41,14 @@ def tag(digest: str) -> str:
 
 
 def in_cell(digest: str, cell: str) -> str:
-    """Whether a digest enters cell 0 to 23: row r reads three bits from bit 4 + 9 r on."""
+    """Whether a digest enters cell 0 to 31: row r reads three bits from bit 4 + 9 r on."""
     return f"(shiftright({digest}, 4 + 9 * ({cell} div 8)) & 7L) = {cell} % 8"
 
 
 def sketch(digests: str) -> str:
-    """The 24 cells of an array of digests."""
+    """The 32 cells of an array of digests."""
     add = f"named_struct('k', a.k ^ d, 's', a.s + {tag('d')})"
-    return f"transform(sequence(0, 23), c -> aggregate(filter({digests}, e -> {in_cell('e', 'cast(c as bigint)')}), named_struct('k', 0L, 's', 0L), (a, d) -> {add}))"
+    return f"transform(sequence(0, 31), c -> aggregate(filter({digests}, e -> {in_cell('e', 'cast(c as bigint)')}), named_struct('k', 0L, 's', 0L), (a, d) -> {add}))"
 
 
 def drawers(digests: str, bits: str) -> str:
@@ -84,11 +84,12 @@ def with_likeness(df: DataFrame, name: str, a: str, cells_a: str, b: str, cells_
     """Add the likeness of two columns of digests, given the columns of their sketches."""
     df = df.withColumn("__minus", F.expr(minus(cells_a, cells_b)))
     df = df.withColumn("__first", F.expr(f"{let('d', peeled('__minus'), 'if(d is null, null, size(d))')}"))
-    # each of three rows sums squared counts to about the number of differing digests; a drawer takes twelve
-    guess = "aggregate(__minus, 0D, (t, x) -> t + power(round(x.s / 6442450943D), 2D)) / 3D"
-    df = df.withColumn("__bits", F.expr(f"cast(least(20D, greatest(1D, ceil(log2(greatest(1D, {guess}) / 12D)))) as int)"))
+    # in each of four rows the squared deviations of the counts add up to about the number of differing digests; a drawer takes up to eight
+    even = f"((size({a}) - size({b})) / 8D)"
+    guess = f"aggregate(__minus, 0D, (t, x) -> t + power(x.s / 6442450943D - {even}, 2D)) / 4D"
+    df = df.withColumn("__bits", F.expr(f"cast(least(20D, greatest(1D, ceil(log2(greatest(1D, {guess}) / 8D)))) as int)"))
     exact = f"size(array_except({a}, {b})) + size(array_except({b}, {a}))"
-    tries = [differing(a, b, f"(__bits + {k})" if k else "__bits") for k in range(3)]
+    tries = [differing(a, b, f"(__bits + {k})") for k in range(3)]
     df = df.withColumn("__d", F.expr(f"coalesce(__first, {', '.join(tries)}, {exact})"))
     total = F.size(a) + F.size(b)
     return df.withColumn(name, F.when(total == 0, F.lit(1.0)).otherwise((total - F.col("__d")) / (total + F.col("__d")))).drop("__minus", "__first", "__bits", "__d")
