@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_vocabulary, table, text_or_empty, vocabulary_path
 from .encoding import map_texts
-from .pieces import PieceCoder, Specials, WordCutter, byte_letters, four_bytes, word_pieces
+from .pieces import PieceCoder, Specials, WordCutter, byte_letters, four_bytes
 
 NEVER = 1 << 60
 BLOCK = 1 << 16
@@ -95,7 +95,7 @@ class BacktrackingEncoder:
         self.matcher.make_automaton()
         self.longest = max(map(len, spelt.values()))
         self.cutter = WordCutter(spec)
-        self.coder = PieceCoder(Specials(spec), word_pieces, self.cutter, lambda words: [self.word(w) for w in words], lambda i: four_bytes([i]), b"".join)
+        self.coder = PieceCoder(Specials(spec), self.cutter.pieces, self.cutter, lambda words: [self.word(w) for w in words], lambda i: four_bytes([i]), b"".join)
 
     def _starts(self, letters: str, at: int) -> list[list[tuple[int, int]]]:
         """The tokens that begin at each place of a block, longest first: ends of matches in the reversed letters."""

@@ -106,8 +106,8 @@ class PieceCoder:
 
     def __init__(self, specials: Specials, cut: Callable, split: Callable, solve: Callable, special: Callable, join: Callable):
         self.specials, self.cut, self.split, self.special, self.join = specials, cut, split, special, join
-        self.words = Memo(solve, 200_000)
-        self.pieces = Memo(self._from_words, 300_000)
+        self.words = Memo(solve, 300_000)
+        self.pieces = Memo(self._from_words, 400_000)
 
     def _from_words(self, pieces: list[str]) -> list:
         split = [[] if p in self.specials.ids else self.split(p) for p in pieces]
@@ -178,11 +178,23 @@ class WordCutter:
         self.find = regex.compile(cuts[0]["pattern"]["Regex"]).findall
         self.letters = [byte_letters()[b] for b in range(256)]
 
+    def normal(self, text: str) -> str:
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+            if "\u03a3" in text:  # the library lowers a sigma alike at any place
+                return "".join(c.lower() for c in text)
+        return text.lower()
+
     def __call__(self, piece: str) -> list[str]:
-        if piece.isascii():
-            return self.find(piece.lower())
-        piece = unicodedata.normalize("NFC", piece)
-        return self.find("".join(c.lower() for c in piece) if "\u03a3" in piece else piece.lower())  # the library lowers a sigma alike at any place
+        """The pre-tokens of a piece that is normal already. Most are letters, with one sign at most behind them."""
+        if piece.isalpha():
+            return [piece]
+        if piece[:-1].isalpha() and piece[-1] in ".,":
+            return [piece[:-1], piece[-1]]
+        return self.find(piece)
+
+    def pieces(self, text: str) -> list[str]:
+        return word_pieces(self.normal(text))
 
     def spelt(self, word: str) -> str:
         return word if word.isascii() and word.isprintable() else "".join(map(self.letters.__getitem__, word.encode()))
@@ -197,7 +209,7 @@ class LibraryEncoder:
 
         spec = json.loads(blob)
         self.model, self.cutter = Tokenizer.from_str(blob).model, WordCutter(spec)
-        self.coder = PieceCoder(Specials(spec), word_pieces, self.cutter, self._solve, lambda i: four_bytes([i]), b"".join)
+        self.coder = PieceCoder(Specials(spec), self.cutter.pieces, self.cutter, self._solve, lambda i: four_bytes([i]), b"".join)
 
     def _solve(self, words: list[str]) -> list[bytes]:
         spelt, tokenize = self.cutter.spelt, self.model.tokenize
