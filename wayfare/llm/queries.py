@@ -14,10 +14,11 @@ from .quotation import OP10_SQL, op10_quotation
 from .sharding import op2_sharding
 from .sstable import op7_sstable
 from .token_counts import op9_token_counts
+from .toxicity import op4_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_sharding, op3_fingerprints, op6_bpe, op7_sstable, op8_quality, op9_token_counts, op10_quotation)}
+    return {f.__name__: f for f in (op1_packing, op2_sharding, op3_fingerprints, op4_toxicity, op6_bpe, op7_sstable, op8_quality, op9_token_counts, op10_quotation)}
 
 
 def oracle_sql() -> dict[str, str]:
