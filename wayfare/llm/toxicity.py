@@ -8,6 +8,8 @@ A segment of score s in a text of m tokens is expected K m exp(-s) times by chan
 the exponent's factor is 1; K comes from the clean training texts); one is significant below SIGNIFICANT. The evidence
 of a text is the sum of -log of these expectations, and a logistic curve over it, fitted to the training rows, gives the score.
 
+A word counts at most TIMES times in a text, so that texts that repeat a word over and over say no more of it.
+
 Only rows whose crc32(doc_id as text) mod 3 isn't 1 teach, at most TRAIN_ROWS labelled ids (those of lowest hash). Equal
 texts count once. A null or empty text has no evidence and gets the score of such texts. Without labels of both kinds no
 feature is listed and every score is the share of toxic training rows, smoothed. A null doc_id is never held out nor labelled.
@@ -32,6 +34,7 @@ PRIOR = 0.05
 Z = 4.0
 SIGNIFICANT = 0.1
 SHORT, LONG = 3, 8
+TIMES = 2
 THRESHOLD = 0.7
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -62,7 +65,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
-                kinds[toxic > 0].update(WORDS.findall(text.as_py().lower()))
+                own = Counter(WORDS.findall(text.as_py().lower()))
+                kinds[toxic > 0].update({w: min(n, TIMES) for w, n in own.items()})
             if len(kinds[0]) + len(kinds[1]) > 400_000:
                 yield out()
         yield out()
@@ -112,7 +116,12 @@ class Scanner:
     def segments(self, words: list[str]) -> list[tuple[float, int, int]]:
         """(score, first token, token after the last) of the maximal segments, in order; each token is handled once."""
         heads, token = self.heads, self.token
-        hits = [(i, s) for i, w in enumerate(words) if w[:SHORT] in heads and (s := token(w)) is not None]
+        hits, times = [], {}
+        for i, w in enumerate(words):
+            if w[:SHORT] in heads and (s := token(w)) is not None:
+                times[w] = times.get(w, 0) + 1
+                if times[w] <= TIMES:
+                    hits.append((i, s))
         found: list[tuple[float, float, int, int, int]] = []  # sums before and after, tokens, the nearest one before with a smaller sum before it
         total, at = 0.0, 0
         for i, score in hits:
