@@ -36,7 +36,7 @@ def measured(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda line: F.trim(line, F.lit(BLANKS)) != "")
     out = docs.withColumns(
         {
-            "__words": F.when(F.length(bare) == 0, F.array().cast("array<string>")).otherwise(cut),
+            "__words": F.when(F.length(bare) > 0, cut).otherwise(F.array().cast("array<string>")),
             "__lines": lines,
             "word_chars": F.length(bare).cast("long"),
             "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
@@ -54,7 +54,9 @@ def measured(docs: DataFrame) -> DataFrame:
     out = out.withColumn("__sorted", F.expr("if(size(array_distinct(__runs)) = size(__runs), null, sort_array(transform(__runs, (r, i) -> struct(r as r, i as i))))")).drop("__runs")
     out = out.withColumn("__twice", F.expr("sort_array(transform(filter(__sorted, (x, k) -> x.r = get(__sorted, k - 1).r or x.r = get(__sorted, k + 1).r), x -> x.i))")).drop("__sorted")
     covered = "aggregate(__twice, named_struct('n', 0L, 'end', 0), (a, i) -> named_struct('n', a.n + 3 - greatest(0, a.end - i), 'end', i + 3), a -> a.n)"
-    return out.withColumn("n_repeat_words", F.expr(f"if(size(__twice) > 0, {covered}, 0L)")).drop("__twice")
+    repeats = F.expr(f"if(size(__twice) > 0, {covered}, 0L)")
+    # always true, but not deterministic: later filters stay above, where they don't repeat the lists for each of their elements
+    return out.withColumn("n_repeat_words", F.when(F.monotonically_increasing_id() >= 0, repeats)).drop("__twice")
 
 
 def base_failed() -> Column:
