@@ -1,14 +1,14 @@
 """Document fingerprints from invertible Bloom lookup sketches of paragraphs.
 
 A text is cut into short paragraphs (at line feeds and sentence ends, long ones every 200 characters); their 64-bit digests
-form a set. A sketch has 32 cells in four rows of eight; a digest enters one cell of each row. A cell holds the xor of
-its digests and the sum of their tags (2^32 plus a 32-bit hash), so that the sum tells both their number and whether
-the xor is a single digest. Two sketches subtract cell by cell; cells of single digests are peeled until nothing is
-left, which recovers the digests in which the texts differ. If that fails, the texts' digests are spread over a power of two
-of drawers by their leading bits, each with 32 cells, as many as the first try's counts suggest, then twice and four
-times as many. What even that can't peel is told by the digests themselves.
-
-The fingerprint is the one-drawer sketch with the text's length and hash. Likeness is the Jaccard similarity of the two sets of
+form a set. A sketch has four rows of a power of two of cells; a digest enters one cell of each row, by its leading bits after it
+is turned by 0, 16, 32 or 48 bits. A cell holds the xor of its (turned) digests and the sum of their tags (2^32 plus a 32-bit
+hash), so that the sum tells both their number and whether the xor is a single digest. Two sketches subtract cell by cell; cells of
+single digests are peeled until nothing is left, which recovers the digests in which the texts differ. If eight cells a row
+are too few, larger sketches follow, of the size that the first difference's counts suggest and then of twice that. What even
+that can't peel is told by the digests themselves. A row is built by sorting the turned digests among a mark for each cell.
+
+The fingerprint is the sketch of eight cells a row with the text's length and hash. Likeness is the Jaccard similarity of the two sets of
 digests, from their sizes and the number of differing digests; two empty sets are alike. A null text is empty. Rows follow by
 descending doc_id, equal ones by text, null ones last; after the last comes the first, which in a table of one row is itself.
 """
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,7 +28,9 @@ ROWS_PER_RANGE = 2000
 MAX_RANGES = 1 << 16
 NULL_RANGES = 64
 ROUNDS = 24
-CELLS = "array<struct<k:bigint,s:bigint>>"
+FIRST_BITS, MAX_BITS = 3, 13
+#: Bits that every digest has (the lowest one after any turn), by which marks of cells differ; and the bit that none has, set for those of the second text.
+ODD, SECOND = 0x0001000100010001, 2
 PARAGRAPH = "(?s)[^.!?\\n]{1,200}[.!?\\n]*|[.!?\\n]+"
 
 
@@ -40,71 +43,80 @@ def tag(digest: str) -> str:
     return f"(4294967296L + (cast(hash({digest}) as bigint) & 4294967295L))"
 
 
-def in_cell(digest: str, cell: str) -> str:
-    """Whether a digest enters cell 0 to 31: row r reads three bits from bit 4 + 9 r on."""
-    return f"(shiftright({digest}, 4 + 9 * ({cell} div 8)) & 7L) = {cell} % 8"
+def turned(digest: str, row: int) -> str:
+    n = 16 * (row % 4)
+    return f"(shiftleft({digest}, {n}) | shiftrightunsigned({digest}, {64 - n}))" if n else digest
 
 
-def sketch(digests: str) -> str:
-    """The 32 cells of an array of digests."""
-    add = f"named_struct('k', a.k ^ d, 's', a.s + {tag('d')})"
-    return f"transform(sequence(0, 31), c -> aggregate(filter({digests}, e -> {in_cell('e', 'cast(c as bigint)')}), named_struct('k', 0L, 's', 0L), (a, d) -> {add}))"
+def row_cells(digests: str, row: int, bits: str, signed: bool = False) -> str:
+    """The 2^bits cells of a row. signed: digests with the bit SECOND count negatively, without it."""
+    second = SECOND << 16 * row
+    one = f"(x & {~second}L)" if signed else "x"
+    sum_ = f"if((x & {second}L) = 0L, a.s + {tag(one)}, a.s - {tag(one)})" if signed else f"a.s + {tag(one)}"
+    marks = f"transform(sequence(0, shiftleft(1, {bits}) - 1), c -> shiftleft(cast(c as bigint) - shiftleft(1L, {bits} - 1), 64 - {bits}))"
+    members = "slice(z, p[c] + 2, coalesce(get(p, c + 1), size(z)) - p[c] - 1)"
+    cell = f"aggregate({members}, named_struct('k', 0L, 's', 0L), (a, x) -> named_struct('k', a.k ^ {one}, 's', {sum_}))"
+    places = "filter(sequence(0, size(z) - 1), i -> (z[i] & 1L) = 0L)"
+    cells = let("p", places, f"transform(sequence(0, size(p) - 1), c -> {cell})")
+    return let("z", f"sort_array(concat(transform({digests}, d -> {turned('d', row)}), {marks}))", cells)
 
 
-def drawers(digests: str, bits: str) -> str:
-    """Sketches of the digests by their leading bits. Sorted with a first value for each drawer (digests are odd, these even), they are sliced."""
-    firsts = f"transform(sequence(0, shiftleft(1, {bits}) - 1), b -> shiftleft(cast(b as bigint) - shiftleft(1L, {bits} - 1), 64 - {bits}))"
-    members = f"slice(z, p[b] + 2, coalesce(get(p, b + 1), size(z)) - p[b] - 1)"
-    cut = let("p", "filter(sequence(0, size(z) - 1), i -> (z[i] & 1L) = 0L)", f"transform(sequence(0, shiftleft(1, {bits}) - 1), b -> {let('m', members, sketch('m'))})")
-    return f"if({bits} = 0, array({sketch(digests)}), {let('z', f'sort_array(concat({digests}, {firsts}))', cut)})"
+def sketch(digests: str, bits: str, signed: bool = False) -> str:
+    """Four rows of cells."""
+    return f"array({', '.join(row_cells(digests, r, bits, signed) for r in range(4))})"
 
 
 def minus(a: str, b: str) -> str:
-    return f"zip_with({a}, {b}, (p, q) -> named_struct('k', p.k ^ q.k, 's', p.s - q.s))"
+    return f"zip_with({a}, {b}, (u, v) -> zip_with(u, v, (p, q) -> named_struct('k', p.k ^ q.k, 's', p.s - q.s)))"
 
 
-def peeled(cells: str) -> str:
-    """The digests that a difference of sketches holds, or null if it can't be peeled."""
-    single = f"(x.s = {tag('x.k')} or x.s = -{tag('x.k')})"
-    found = f"array_distinct(filter(a.c, x -> {single}))"
-    taken = f"transform(a.c, (x, i) -> aggregate(filter(f, y -> {in_cell('y.k', 'cast(i as bigint)')}), x, (g, y) -> named_struct('k', g.k ^ y.k, 's', g.s - y.s)))"
-    step = let("f", found, f"if(size(f) = 0, named_struct('c', a.c, 'd', a.d, 'go', false), named_struct('c', {taken}, 'd', concat(a.d, transform(f, y -> y.k)), 'go', true))")
+def peeled(cells: str, bits: str) -> str:
+    """The digests that a difference of sketches holds, those of the second text with the bit SECOND, or null if it can't be peeled."""
+
+    def singles(row: int) -> str:
+        hit = f"filter(s.c[{row}], x -> x.s = {tag('x.k')} or x.s = -{tag('x.k')})"
+        return f"transform({hit}, x -> if(x.s > 0L, {turned('x.k', 4 - row)}, {turned('x.k', 4 - row)} | {SECOND}L))"
+
+    found = f"array_distinct(concat({', '.join(map(singles, range(4)))}))"
+    more = f"named_struct('c', {minus('s.c', sketch('f', bits, True))}, 'd', concat(s.d, f), 'go', true)"
+    step = let("f", found, f"if(size(f) = 0, named_struct('c', s.c, 'd', s.d, 'go', false), {more})")
     start = f"named_struct('c', {cells}, 'd', cast(array() as array<bigint>), 'go', true)"
-    clear = "if(exists(a.c, x -> x.k <> 0L or x.s <> 0L), null, a.d)"
-    return f"aggregate(sequence(1, {ROUNDS}), {start}, (a, r) -> if(a.go, {step}, a), a -> {clear})"
+    clear = "if(exists(s.c, u -> exists(u, x -> x.k <> 0L or x.s <> 0L)), null, s.d)"
+    return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, n) -> if(s.go, {step}, s), s -> {clear})"
 
 
 def differing(a: str, b: str, bits: str) -> str:
-    """How many digests differ, through sketches of 2^bits drawers; null if one can't be peeled."""
-    each = f"transform(zip_with({drawers(a, bits)}, {drawers(b, bits)}, (u, v) -> {minus('u', 'v')}), w -> size({peeled('w')}))"
-    return let("n", each, "if(exists(n, x -> x is null or x < 0), null, aggregate(n, 0, (t, x) -> t + x))")
+    """How many digests differ, through sketches of 2^bits cells a row; null if they can't be peeled."""
+    found = peeled(minus(sketch(a, bits), sketch(b, bits)), bits)
+    return f"if({bits} > {MAX_BITS}, null, {let('y', found, 'if(y is null, null, size(y))')})"
 
 
 def with_likeness(df: DataFrame, name: str, a: str, cells_a: str, b: str, cells_b: str) -> DataFrame:
     """Add the likeness of two columns of digests, given the columns of their sketches."""
     df = df.withColumn("__minus", F.expr(minus(cells_a, cells_b)))
-    df = df.withColumn("__first", F.expr(f"{let('d', peeled('__minus'), 'if(d is null, null, size(d))')}"))
-    # in each of four rows the squared deviations of the counts add up to about the number of differing digests; a drawer takes up to eight
+    # in each of four rows the squared deviations of the counts add up to about the number of differing digests
     even = f"((size({a}) - size({b})) / 8D)"
-    guess = f"aggregate(__minus, 0D, (t, x) -> t + power(x.s / 6442450943D - {even}, 2D)) / 4D"
-    df = df.withColumn("__bits", F.expr(f"cast(least(20D, greatest(1D, ceil(log2(greatest(1D, {guess}) / 8D)))) as int)"))
+    guess = f"(aggregate(flatten(__minus), 0D, (t, x) -> t + power(x.s / 6442450943D - {even}, 2D)) / 4D)"
+    df = df.withColumn("__guess", F.expr(guess))
+    df = df.withColumn("__bits", F.expr(f"cast(least({MAX_BITS + 1}D, greatest({FIRST_BITS + 1}D, ceil(log2(greatest(1D, __guess) / 2D)))) as int)"))
+    first = let("y", peeled("__minus", str(FIRST_BITS)), "if(y is null, null, size(y))")
     exact = f"size(array_except({a}, {b})) + size(array_except({b}, {a}))"
-    tries = [differing(a, b, f"(__bits + {k})") for k in range(3)]
-    df = df.withColumn("__d", F.expr(f"coalesce(__first, {', '.join(tries)}, {exact})"))
+    tries = [f"if(__guess > 40D, null, {first})", differing(a, b, "__bits"), differing(a, b, "(__bits + 1)"), exact]
+    df = df.withColumn("__d", F.expr(f"coalesce({', '.join(tries)})"))
     total = F.size(a) + F.size(b)
-    return df.withColumn(name, F.when(total == 0, F.lit(1.0)).otherwise((total - F.col("__d")) / (total + F.col("__d")))).drop("__minus", "__first", "__bits", "__d")
+    return df.withColumn(name, F.when(total == 0, F.lit(1.0)).otherwise((total - F.col("__d")) / (total + F.col("__d")))).drop("__minus", "__guess", "__bits", "__d")
 
 
 def digested(df: DataFrame, text: str, digests: str, cells: str) -> DataFrame:
-    """Add the digests (odd, so that drawers' first values can't be among them) and the sketch of a text column."""
+    """Add the digests and the sketch of a text column."""
     cut = F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0))
-    df = df.withColumn(digests, F.array_distinct(F.transform(cut, lambda p: F.xxhash64(p).bitwiseOR(F.lit(1)))))
-    return df.withColumn(cells, F.expr(sketch(digests)))
+    df = df.withColumn(digests, F.array_distinct(F.transform(cut, lambda p: F.xxhash64(p).bitwiseOR(F.lit(ODD)).bitwiseAND(F.lit(~SECOND)))))
+    return df.withColumn(cells, F.expr(sketch(digests, str(FIRST_BITS))))
 
 
 def written(text: str, digests: str, cells: str) -> Column:
     """The fingerprint as text: length and hash of the text, number of digests, and the cells that aren't empty."""
-    cell = F.expr(f"array_join(transform(filter(transform({cells}, (x, i) -> named_struct('i', i, 'x', x)), y -> y.x.s <> 0L), y -> concat_ws('.', y.i, lower(hex(y.x.k)), lower(hex(y.x.s)))), ',')")
+    cell = F.expr(f"array_join(transform(filter(transform(flatten({cells}), (x, i) -> named_struct('i', i, 'x', x)), y -> y.x.s <> 0L), y -> concat_ws('.', y.i, lower(hex(y.x.k)), lower(hex(y.x.s)))), ',')")
     return F.concat_ws(":", F.length(text), F.lower(F.hex(F.xxhash64(text))), F.size(digests), cell)
 
 
@@ -126,25 +138,28 @@ def ranged(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__range", F.when(F.col("doc_id").isNull(), last).otherwise(len(bounds) - place).cast("int")).drop("__top")
 
 
-def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
-    """Each row with the carried columns of the next one, as next_<name>. Neighbours meet in windows of one range; the ranges' last rows are joined to the next range's first."""
+def with_next(docs: DataFrame, add: Callable[[DataFrame], DataFrame], carried: list[str]) -> DataFrame:
+    """Each row, with what add gives it, and the carried columns of the next one, as next_<name>. Neighbours meet in windows of one range; the ranges' last rows are joined to the next range's first."""
     placed = ranged(docs)
     order = Window.partitionBy("__range").orderBy(F.col("doc_id").desc_nulls_last(), "text")
-    rows = placed.withColumns({"__next": F.lead(F.struct(*carried)).over(order), "__k": F.row_number().over(order)})
-    heads = rows.filter("__k = 1").select(F.col("__range").alias("__of"), F.struct(*carried).alias("__head"))
+    rows = add(placed)
+    names = [c for c in rows.columns if c != "__range"]
+    rows = rows.withColumn("__next", F.lead(F.struct(*carried)).over(order))
+    heads = add(placed.withColumn("__k", F.row_number().over(order)).filter("__k = 1").drop("__k"))
+    heads = heads.select(F.col("__range").alias("__of"), F.struct(*carried).alias("__head"))
     there = placed.select("__range").distinct()
     wrap = Window.orderBy("__range")  # a row for each range
     follows = there.select("__range", F.coalesce(F.lead("__range").over(wrap), F.min("__range").over(wrap.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("__of"))
     heads = follows.join(heads, "__of").select(F.col("__range").alias("__r"), "__head")
     joined = rows.join(heads, F.col("__range") == F.col("__r"), "left")
     follower = F.coalesce("__next", "__head")
-    return joined.withColumn("__follower", follower).select(*docs.columns, *[F.col("__follower")[c].alias(f"next_{c}") for c in carried])
+    return joined.withColumn("__follower", follower).select(*names, *[F.col("__follower")[c].alias(f"next_{c}") for c in carried])
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of each document."""
-    own = digested(docs.select("doc_id", text_or_empty().alias("text")), "text", "digests", "cells")
-    rows = with_next(own, ["text", "digests", "cells"])
+    own = docs.select("doc_id", text_or_empty().alias("text"))
+    rows = with_next(own, lambda df: digested(df, "text", "digests", "cells"), ["text", "digests", "cells"])
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
     rows = rows.withColumn("edited", edited).drop("next_text")
