@@ -63,7 +63,7 @@ def weights(graph: Graph, first: DataFrame, eps: float = EPS) -> DataFrame:
     total = reached.groupBy("source").agg(F.sum("dist").alias("__total")).filter("__total > 0")
     share = reached.join(total, "source").groupBy("node").agg(F.max(F.col("dist") / F.col("__total")).alias("__share"))
     nodes = graph.vertices.select(F.col("id").alias("node")).join(share, "node", "left")
-    weight = F.greatest(F.lit(1.0 / n), F.coalesce("__share", F.lit(0.0)))
+    weight = F.greatest(F.lit(1.0 / max(1, n)), F.coalesce("__share", F.lit(0.0)))
     return nodes.select("node", weight.alias("weight")).withColumn("p", F.least(F.lit(1.0), F.lit(float(k)) * F.col("weight")))
 
 
