@@ -1,8 +1,8 @@
 """Document fingerprints from invertible Bloom lookup sketches of paragraphs.
 
 A text is cut into short paragraphs (at line feeds and sentence ends, long ones every 200 characters); their 64-bit digests
-form a set. A sketch has four rows of a power of two of cells; a digest enters one cell of each row, by its leading bits after it
-is turned by 0, 16, 32 or 48 bits. A cell holds the xor of its (turned) digests and the sum of their tags (2^32 plus a 32-bit
+form a set. A sketch has three rows of a power of two of cells; a digest enters one cell of each row, by its leading bits after it
+is turned by 0, 16 or 32 bits. A cell holds the xor of its (turned) digests and the sum of their tags (2^32 plus a 32-bit
 hash), so that the sum tells both their number and whether the xor is a single digest. Two sketches subtract cell by cell; cells of
 single digests are peeled until nothing is left, which recovers the digests in which the texts differ. If eight cells a row
 are too few, larger sketches follow, of the size that the first difference's counts suggest and then of twice that. What even
@@ -29,6 +29,9 @@ MAX_RANGES = 1 << 16
 NULL_RANGES = 64
 ROUNDS = 24
 FIRST_BITS, MAX_BITS = 3, 13
+TABLE_ROWS = 3
+#: Differing digests for each cell of a row that a sketch is made for.
+PER_CELL = 1.1
 #: Bits that every digest has (the lowest one after any turn), by which marks of cells differ; and the bit that none has, set for those of the second text.
 ODD, SECOND = 0x0001000100010001, 2
 PARAGRAPH = "(?s)[^.!?\\n]{1,200}[.!?\\n]*|[.!?\\n]+"
@@ -48,37 +51,50 @@ def turned(digest: str, row: int) -> str:
     return f"(shiftleft({digest}, {n}) | shiftrightunsigned({digest}, {64 - n}))" if n else digest
 
 
-def row_cells(digests: str, row: int, bits: str, signed: bool = False) -> str:
-    """The 2^bits cells of a row. signed: digests with the bit SECOND count negatively, without it."""
+def marks(bits: str) -> str:
+    """A value for each cell of a row that sorts before the turned digests of the cell."""
+    return f"transform(sequence(0, shiftleft(1, {bits}) - 1), c -> shiftleft(cast(c as bigint) - shiftleft(1L, {bits} - 1), 64 - {bits}))"
+
+
+def row_cells(digests: str, row: int, marked: str, before: str = "") -> str:
+    """The cells of a row, one for each mark.
+
+    before: cells that the digests are taken out of; those with the bit SECOND, which counts for nothing else, are put in instead.
+    """
     second = SECOND << 16 * row
-    one = f"(x & {~second}L)" if signed else "x"
-    sum_ = f"if((x & {second}L) = 0L, a.s + {tag(one)}, a.s - {tag(one)})" if signed else f"a.s + {tag(one)}"
-    marks = f"transform(sequence(0, shiftleft(1, {bits}) - 1), c -> shiftleft(cast(c as bigint) - shiftleft(1L, {bits} - 1), 64 - {bits}))"
-    members = "slice(z, p[c] + 2, coalesce(get(p, c + 1), size(z)) - p[c] - 1)"
-    cell = f"aggregate({members}, named_struct('k', 0L, 's', 0L), (a, x) -> named_struct('k', a.k ^ {one}, 's', {sum_}))"
-    places = "filter(sequence(0, size(z) - 1), i -> (z[i] & 1L) = 0L)"
-    cells = let("p", places, f"transform(sequence(0, size(p) - 1), c -> {cell})")
-    return let("z", f"sort_array(concat(transform({digests}, d -> {turned('d', row)}), {marks}))", cells)
+    one = f"(x & {~second}L)" if before else "x"
+    sum_ = f"if((x & {second}L) = 0L, a.s - {tag(one)}, a.s + {tag(one)})" if before else f"a.s + {tag(one)}"
+    start = f"{before}[c]" if before else "named_struct('k', 0L, 's', 0L)"
+    cell = f"aggregate(slice(z, p[c] + 2, p[c + 1] - p[c] - 1), {start}, (a, x) -> named_struct('k', a.k ^ {one}, 's', {sum_}))"
+    places = "concat(filter(sequence(0, size(z) - 1), i -> (z[i] & 1L) = 0L), array(size(z)))"
+    cells = let("p", places, f"transform(sequence(0, size(p) - 2), c -> if(p[c + 1] - p[c] = 1, {start}, {cell}))")
+    return let("z", f"sort_array(concat(transform({digests}, d -> {turned('d', row)}), {marked}))", cells)
+
+
+def sketch(digests: str, marked: str) -> str:
+    """Three rows of cells."""
+    return f"array({', '.join(row_cells(digests, r, marked) for r in range(TABLE_ROWS))})"
 
 
-def sketch(digests: str, bits: str, signed: bool = False) -> str:
-    """Four rows of cells."""
-    return f"array({', '.join(row_cells(digests, r, bits, signed) for r in range(4))})"
+def taken_out(cells: str, digests: str, marked: str) -> str:
+    """Cells without digests that were found in them."""
+    return f"array({', '.join(row_cells(digests, r, marked, f'{cells}[{r}]') for r in range(TABLE_ROWS))})"
 
 
 def minus(a: str, b: str) -> str:
     return f"zip_with({a}, {b}, (u, v) -> zip_with(u, v, (p, q) -> named_struct('k', p.k ^ q.k, 's', p.s - q.s)))"
 
 
-def peeled(cells: str, bits: str) -> str:
+def peeled(cells: str, marked: str) -> str:
     """The digests that a difference of sketches holds, those of the second text with the bit SECOND, or null if it can't be peeled."""
 
     def singles(row: int) -> str:
-        hit = f"filter(s.c[{row}], x -> x.s = {tag('x.k')} or x.s = -{tag('x.k')})"
+        # a sum between 2^32 and 2^33 can be one digest's; the hash decides
+        hit = f"filter(s.c[{row}], x -> abs(x.s) >= 4294967296L and abs(x.s) < 8589934592L and abs(x.s) = {tag('x.k')})"
         return f"transform({hit}, x -> if(x.s > 0L, {turned('x.k', 4 - row)}, {turned('x.k', 4 - row)} | {SECOND}L))"
 
-    found = f"array_distinct(concat({', '.join(map(singles, range(4)))}))"
-    more = f"named_struct('c', {minus('s.c', sketch('f', bits, True))}, 'd', concat(s.d, f), 'go', true)"
+    found = f"array_distinct(concat({', '.join(map(singles, range(TABLE_ROWS)))}))"
+    more = f"named_struct('c', {taken_out('s.c', 'f', marked)}, 'd', concat(s.d, f), 'go', true)"
     step = let("f", found, f"if(size(f) = 0, named_struct('c', s.c, 'd', s.d, 'go', false), {more})")
     start = f"named_struct('c', {cells}, 'd', cast(array() as array<bigint>), 'go', true)"
     clear = "if(exists(s.c, u -> exists(u, x -> x.k <> 0L or x.s <> 0L)), null, s.d)"
@@ -87,21 +103,21 @@ def peeled(cells: str, bits: str) -> str:
 
 def differing(a: str, b: str, bits: str) -> str:
     """How many digests differ, through sketches of 2^bits cells a row; null if they can't be peeled."""
-    found = peeled(minus(sketch(a, bits), sketch(b, bits)), bits)
+    found = let("w", marks(bits), peeled(minus(sketch(a, "w"), sketch(b, "w")), "w"))
     return f"if({bits} > {MAX_BITS}, null, {let('y', found, 'if(y is null, null, size(y))')})"
 
 
 def with_likeness(df: DataFrame, name: str, a: str, cells_a: str, b: str, cells_b: str) -> DataFrame:
     """Add the likeness of two columns of digests, given the columns of their sketches."""
     df = df.withColumn("__minus", F.expr(minus(cells_a, cells_b)))
-    # in each of four rows the squared deviations of the counts add up to about the number of differing digests
+    # in each of three rows the squared deviations of the counts add up to about the number of differing digests
     even = f"((size({a}) - size({b})) / 8D)"
-    guess = f"(aggregate(flatten(__minus), 0D, (t, x) -> t + power(x.s / 6442450943D - {even}, 2D)) / 4D)"
+    guess = f"(aggregate(flatten(__minus), 0D, (t, x) -> t + power(x.s / 6442450943D - {even}, 2D)) / {TABLE_ROWS}D)"
     df = df.withColumn("__guess", F.expr(guess))
-    df = df.withColumn("__bits", F.expr(f"cast(least({MAX_BITS + 1}D, greatest({FIRST_BITS + 1}D, ceil(log2(greatest(1D, __guess) / 2D)))) as int)"))
-    first = let("y", peeled("__minus", str(FIRST_BITS)), "if(y is null, null, size(y))")
+    df = df.withColumn("__bits", F.expr(f"cast(least({MAX_BITS + 1}D, greatest({FIRST_BITS + 1}D, ceil(log2(greatest(1D, __guess) / {PER_CELL}D)))) as int)"))
+    first = let("y", let("w", marks(str(FIRST_BITS)), peeled("__minus", "w")), "if(y is null, null, size(y))")
     exact = f"size(array_except({a}, {b})) + size(array_except({b}, {a}))"
-    tries = [f"if(__guess > 40D, null, {first})", differing(a, b, "__bits"), differing(a, b, "(__bits + 1)"), exact]
+    tries = [f"if(__guess > 30D, null, {first})", differing(a, b, "__bits"), differing(a, b, "(__bits + 1)"), exact]
     df = df.withColumn("__d", F.expr(f"coalesce({', '.join(tries)})"))
     total = F.size(a) + F.size(b)
     return df.withColumn(name, F.when(total == 0, F.lit(1.0)).otherwise((total - F.col("__d")) / (total + F.col("__d")))).drop("__minus", "__guess", "__bits", "__d")
@@ -111,7 +127,7 @@ def digested(df: DataFrame, text: str, digests: str, cells: str) -> DataFrame:
     """Add the digests and the sketch of a text column."""
     cut = F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0))
     df = df.withColumn(digests, F.array_distinct(F.transform(cut, lambda p: F.xxhash64(p).bitwiseOR(F.lit(ODD)).bitwiseAND(F.lit(~SECOND)))))
-    return df.withColumn(cells, F.expr(sketch(digests, str(FIRST_BITS))))
+    return df.withColumn(cells, F.expr(let("w", marks(str(FIRST_BITS)), sketch(digests, "w"))))
 
 
 def written(text: str, digests: str, cells: str) -> Column:
