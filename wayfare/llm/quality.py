@@ -96,9 +96,9 @@ def judged(measures: DataFrame, rates: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents that stay, with their own columns. Measures are taken twice rather than written beside the texts."""
-    names = docs.columns
     rates = host_rates(measured(docs.select("source", "text")))
-    return judged(measured(docs), rates).filter("kept").select(*names)
+    whole = docs.select(F.struct(*docs.columns).alias("__doc"), "source", "text")  # apart from the measures, whatever the columns' names
+    return judged(measured(whole), rates).filter("kept").select("__doc.*")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
