@@ -186,10 +186,8 @@ def test_jaccard_join(spark, odd_rows, no_docs, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = brute_classes(rows)
     assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard_join.near_duplicates(docs).collect()) == want
-    monkeypatch.setattr(jaccard_join, "BLOCK", 3)  # every group in many blocks
-    split = lambda rows, key: plain(rows, key, 3)
     plain = jaccard_join.with_blocks
-    monkeypatch.setattr(jaccard_join, "with_blocks", split)
+    monkeypatch.setattr(jaccard_join, "with_blocks", lambda rows, key, block=0: plain(rows, key, 3))  # every group in many blocks
     monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", -1)
     assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard_join.near_duplicates(docs).collect()) == want
     assert jaccard_join.near_duplicates(no_docs).count() == 0

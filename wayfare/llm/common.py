@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfare.sources.shared import discard, new_dir, settled, shared_dir
+
+__all__ = ["discard", "new_dir", "read_vocabulary", "settled", "shared_dir", "table", "text_or_empty", "vocabulary_path"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,41 +21,6 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. A temporary one serves only where none is set and all runs in one process."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="wayfare-")
-    spark.sparkContext.setCheckpointDir(f"file://{made}")
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def new_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def settled(df: DataFrame, label: str) -> DataFrame:
-    """df written once to the shared folder and read again: later steps neither repeat its work nor depend on lost executors."""
-    spark = df.sparkSession
-    path = new_dir(spark, label)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.settled_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a settled table that no result reads any more."""
-    path = getattr(df, "settled_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def vocabulary_path(name: str) -> str:
     """Where the installed public vocabulary of this name lies."""
     import public_tokenizers

@@ -9,7 +9,7 @@ bucket are written, not pairs. Inside each part all pairs are then verified exac
 are counted and spanned again. The answer is one row per document: its class (the least doc_id joined to it by a chain of links,
 itself included), its representative's doc_id and its number of links: other documents, copies included, of similarity 0.8 or more.
 
-Buckets and parts of more than BLOCK members are cut into blocks that meet two by two, so that no bucket or part is one task's.
+Buckets of more than BLOCK members and parts of more than PART_BLOCK are cut into blocks that meet two by two, so that no bucket or part is one task's.
 Texts without words are copies of each other. A null text has no words. Rows that share a doc_id count as documents each; null
 doc_ids stand after all others for representatives and classes.
 """
@@ -24,13 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfare.operators.structure import spanned
+
 from .common import discard, settled, table, text_or_empty
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 3
 STEP = 10
 TOLERANCE = 1e-9
-BLOCK = 1024
+#: Members of a bucket, and of a part, that one task compares with each other.
+BLOCK, PART_BLOCK = 1024, 1024
 SEED = 7919
 HOT_KEYS = 100_000
 #: Up to so many representatives (about 60 bytes each) that share a part go to the executors to pick their texts; beyond that both sides are shuffled.
@@ -268,28 +271,6 @@ def overlaps(sets: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node and part (the least node joined to it) for the nodes of edges (a, b), by large and small stars in turn."""
-    both = edges.filter("a <> b")
-    at = settled(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    while True:
-        # large star: every larger neighbour of a node points to the least of the node and its neighbours
-        sides = at.select("a", "b").union(at.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = sides.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        large = sides.filter("b > a").join(low, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        # small star: a node and its smaller neighbours point to the least of them
-        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
-        small = large.join(low, F.col("a") == F.col("n")).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        after = settled(small.filter("a <> b").distinct(), "edges")
-        same = after.count() == at.count() and after.join(at, ["a", "b"], "left_anti").isEmpty()
-        discard(at)
-        at = after
-        if same:
-            break
-    roots = at.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("part"))
-    return at.select(F.col("a").alias("node"), F.col("b").alias("part")).union(roots)
-
-
 def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """doc_id (the column key), class_id, rep_id and n_links of each row of docs."""
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), text_or_empty().alias("text"))
@@ -303,15 +284,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     banded = with_blocks(banded.select(F.xxhash64("band", "key").alias("key"), "rep", "matches"), "key")
     buckets = in_block_pairs(banded, "rep").select("key", "i", "j", "mine", "rep", "matches")
     buckets = buckets.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    parts = components(buckets.mapInArrow(by_group(bucket_edges, 20_000), "a long, b long"))
+    parts = spanned(buckets.mapInArrow(by_group(bucket_edges, 20_000), "a long, b long"))
     members = parts.join(reps.select("rep", "f", "digest", "copies"), F.col("node") == F.col("rep"))
-    members = settled(with_blocks(members.select("part", "rep", "copies", F.col("f.d").alias("rep_id"), F.col("f.t").alias("text_hash"), "digest"), "part"), "members")
+    members = settled(with_blocks(members.select("part", "rep", "copies", F.col("f.d").alias("rep_id"), F.col("f.t").alias("text_hash"), "digest"), "part", PART_BLOCK), "members")
     sets = shingle_sets(docs, signed, members)
     pairs = in_block_pairs(sets, "rep").select("part", "i", "j", "mine", "rep", "copies", "set")
     exact = pairs.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j").mapInArrow(by_group(verified, 2_000), "rep long, links long, edge long")
     exact = settled(exact, "exact")
     links = exact.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = components(exact.select(F.col("rep").alias("a"), F.col("edge").alias("b")))
+    classes = spanned(exact.select(F.col("rep").alias("a"), F.col("edge").alias("b")))
     named = reps.select("rep", "digest", F.col("f.d").alias("rep_id"), "copies").join(links, "rep", "left").join(classes, F.col("rep") == F.col("node"), "left")
     named = named.withColumn("part", F.coalesce("part", "rep")).drop("node")
     least = named.groupBy("part").agg(F.min("rep_id").alias("class_id"))
