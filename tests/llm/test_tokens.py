@@ -83,7 +83,7 @@ def test_token_counts(spark, odd_docs, odd_rows, no_docs):
 def test_table_shards(spark, odd_docs, odd_rows, no_docs):
     library = Tokenizer.from_file(WORD)
     directory = new_dir(spark, "sst-test")
-    manifest = sstable.write_shards(odd_docs, WORD, directory, shard_chars=40_000)
+    manifest = sstable.write_shards(odd_docs, WORD, directory, shard_rows=8)
     got = [tuple(r) for r in sstable.read_shards(manifest, directory).collect()]
     start, want = 0, []
     for i, t in sorted(((i, t or "") for i, t, *_ in odd_rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1])):

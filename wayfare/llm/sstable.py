@@ -34,7 +34,7 @@ from .pieces import LibraryEncoder, four_bytes, once
 
 END_ID = 2
 BLOCK_BYTES = 64 << 10
-SHARD_CHARS = 16 << 20
+SHARD_ROWS = 5000
 BITS_PER_KEY, PROBES = 10, 7
 MAGIC = b"WFSST\x00\x00\x01"
 #: ids' width, documents, ids, places and sizes of index and filter, the index's crc32
@@ -203,7 +203,7 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def write_shards(docs: DataFrame, vocabulary: str, directory: str, end_id: int = END_ID, shard_chars: int = SHARD_CHARS) -> DataFrame:
+def write_shards(docs: DataFrame, vocabulary: str, directory: str, end_id: int = END_ID, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Write documents' ids to shards in directory, which all executors share. Returns shard, path, n_docs, n_ids and start (ids of earlier shards)."""
     spark = docs.sparkSession
     import json
@@ -213,8 +213,7 @@ def write_shards(docs: DataFrame, vocabulary: str, directory: str, end_id: int =
     largest = max(max(spec["model"]["vocab"].values()), max((t["id"] for t in spec["added_tokens"]), default=0), end_id)
     width, blob = 2 if largest < 1 << 16 else 4, spark.sparkContext.broadcast(text)
     rows = docs.select("doc_id", text_or_empty().alias("text"))
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(1, math.ceil(chars / shard_chars))
+    shards = max(1, math.ceil(rows.count() / shard_rows))
     ordered = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
