@@ -107,6 +107,31 @@ def test_segments_equal_brute_force():
             assert all(s == pytest.approx(sum(values[a:b])) and s > 0 for s, a, b in found)
 
 
+def damped_score(scanner, words):
+    """What a stretch scores when a word counts at most TIMES times."""
+    values = {w: scanner.token(w) for w in words}
+    return sum(scanner.other if values[w] is None else values[w] * min(n, toxicity.TIMES) for w, n in Counter(words).items() for _ in range(n if values[w] is None else 1))
+
+
+def test_repeated_words_score_in_every_segment():
+    rng = random.Random(8)
+    scanner = toxicity.Scanner({"bad$": 2.0, "awf": 1.0, "awful$": 3.0, "vil": 0.6}, -0.5)
+    for _ in range(600):
+        words = [rng.choice(["ok"] * rng.randrange(1, 9) + ["bad", "awful", "awfully", "vile"]) for _ in range(rng.randrange(26))]
+        stretches = [(a, b) for a in range(len(words)) for b in range(a + 1, len(words) + 1)]
+        found = scanner.segments(words)
+        assert max((s for s, _, _ in found), default=0) == pytest.approx(max([0, *(damped_score(scanner, words[a:b]) for a, b in stretches)]))
+        for score, a, b in found:
+            assert score == pytest.approx(max(damped_score(scanner, words[x:y]) for x, y in stretches if a <= x and y <= b))
+    # a passage's segment doesn't depend on what stands before it
+    passage = ["awful", "bad", "awfully", "vile"] * 2
+    (alone,) = scanner.segments(passage)
+    gap = ["ok"] * 50
+    for before in ([w for p in passage * 3 for w in [p, *gap]], (passage + gap) * 2):
+        score, a, b = scanner.segments(before + passage)[-1]
+        assert (score, a, b) == (pytest.approx(alone[0]), len(before), len(before) + len(passage))
+
+
 def toxic_corpus(spark, n=600):
     rng = random.Random(4)
     docs, labels = [], []

@@ -8,7 +8,9 @@ A segment of score s in a text of m tokens is expected K m exp(-s) times by chan
 the exponent's factor is 1; K comes from the clean training texts); one is significant below SIGNIFICANT. The evidence
 of a text is the sum of -log of these expectations, and a logistic curve over it, fitted to the training rows, gives the score.
 
-A word counts at most TIMES times in a text, so that texts that repeat a word over and over say no more of it.
+Every occurrence of a word is scanned. A maximal segment's score is the highest that any stretch of it has when a word counts
+at most TIMES times in the stretch and its further occurrences nothing, so that a passage that repeats a word over and over says
+no more of it. What stands elsewhere in the text changes neither a segment nor its score. In training texts a word counts at most TIMES times.
 
 Only rows whose crc32(doc_id as text) mod 3 isn't 1 teach, at most TRAIN_ROWS labelled ids (those of lowest hash). Equal
 texts count once. A null or empty text has no evidence and gets the score of such texts. Without labels of both kinds no
@@ -116,15 +118,10 @@ class Scanner:
     def segments(self, words: list[str]) -> list[tuple[float, int, int]]:
         """(score, first token, token after the last) of the maximal segments, in order; each token is handled once."""
         heads, token = self.heads, self.token
-        hits, times = [], {}
-        for i, w in enumerate(words):
-            if w[:SHORT] in heads and (s := token(w)) is not None:
-                times[w] = times.get(w, 0) + 1
-                if times[w] <= TIMES:
-                    hits.append((i, s))
+        hits = [(i, s, w) for i, w in enumerate(words) if w[:SHORT] in heads and (s := token(w)) is not None]
         found: list[tuple[float, float, int, int, int]] = []  # sums before and after, tokens, the nearest one before with a smaller sum before it
         total, at = 0.0, 0
-        for i, score in hits:
+        for i, score, _ in hits:
             total += self.other * (i - at)
             low, first, at = total, i, i + 1
             total += score
@@ -137,7 +134,59 @@ class Scanner:
                     break
                 low, first = found[j][0], found[j][2]
                 del found[j:]
-        return [(after - before, a, b) for before, after, a, b, _ in found if after > before]
+        segments = [(after - before, a, b) for before, after, a, b, _ in found if after > before]
+        if max(Counter(w for _, _, w in hits).values(), default=0) <= TIMES:
+            return segments
+        out, at = [], 0
+        for score, a, b in segments:
+            while hits[at][0] < a:
+                at += 1
+            end = at
+            while end < len(hits) and hits[end][0] < b:
+                end += 1
+            own, at = hits[at:end], end
+            repeated = max(Counter(w for _, _, w in own).values()) > TIMES
+            out.append((self.damped(own) if repeated else score, a, b))
+        return out
+
+    def damped(self, hits: list[tuple[int, float, str]]) -> float:
+        """The highest score of a stretch of these (place, score, word), where a word's occurrences beyond TIMES add nothing.
+
+        Stretches that end at the hit at hand begin at one of the live starts. What a hit adds to a start it adds to all later ones,
+        so a start whose stretch scores no more than a later one's never leads again. lead holds by how much each live start
+        leads the next (the last one an empty stretch); their sum is the score of the first, which is the highest.
+        """
+        lead, up, places = [0.0], [0], {}  # by start from 1; up points from starts that aren't live to earlier ones
+        best = total = 0.0
+
+        def live(k: int) -> int:
+            while up[k] != k:
+                up[k] = k = up[up[k]]
+            return k
+
+        def lower(k: int, by: float) -> float:
+            """Take from a start's lead; by how much the sum of all grows as starts that lead no more leave."""
+            lead[k] -= by
+            while lead[k] <= 0:
+                up[k] = k - 1
+                before = live(k)
+                if not before:
+                    return -lead[k]
+                lead[before] += lead[k]
+                k = before
+            return 0.0
+
+        at = hits[0][0]
+        for n, (i, score, word) in enumerate(hits, 1):
+            if i > at and (k := live(n - 1)):
+                total += self.other * (i - at)
+                total += lower(k, -self.other * (i - at))
+            seen = places.setdefault(word, [])
+            k = live(seen[-TIMES]) if len(seen) >= TIMES else 0
+            lead.append(score), up.append(n), seen.append(n)
+            total += lower(k, score) if k else score
+            best, at = max(best, total), i + 1
+        return best
 
 
 def scanned(docs: DataFrame, listed: dict[str, float], other: float, columns: list[str]) -> DataFrame:
