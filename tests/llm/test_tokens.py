@@ -32,6 +32,15 @@ def test_encoders_equal_the_library(kind, path):
         assert ids == four_bytes(library.encode(text, add_special_tokens=False).ids), text
 
 
+@pytest.mark.parametrize("kind", [LibraryEncoder, bpe.BacktrackingEncoder])
+def test_text_that_lowers_to_a_special_string_is_text(kind):
+    texts, library = ["a <|ENDOFTEXT|> b", "a <|endoftext|> b", "<|StartOfText|>\n<|startoftext|> <|ENDOFTEXT|>", "a <|ENDOFTEXT|> b"], Tokenizer.from_file(WORD)
+    coder = kind(read_vocabulary(WORD))
+    for order in (texts, texts[::-1]):
+        for text, ids in zip(order, coder.many(order)):
+            assert ids == four_bytes(library.encode(text, add_special_tokens=False).ids), text
+
+
 def test_counts_equal_the_library():
     texts, library = odd_texts(4000, 2), Tokenizer.from_file(BYTE)
     assert list(token_counts.RankCounter(read_vocabulary(BYTE)).many(texts)) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]

@@ -99,7 +99,7 @@ class PieceCoder:
     """Values of texts from values of pieces, and those from values of pre-tokens; both are remembered.
 
     cut gives a text's pieces, split a piece's pre-tokens; solve gives the values of new pre-tokens, special that of a
-    special string, join combines values.
+    special string, join combines values. Among pieces a special string is a tuple of its id: normalised text may read like one.
     """
 
     HELD = 1 << 21
@@ -109,22 +109,22 @@ class PieceCoder:
         self.words = Memo(solve, 300_000)
         self.pieces = Memo(self._from_words, 400_000)
 
-    def _from_words(self, pieces: list[str]) -> list:
-        split = [[] if p in self.specials.ids else self.split(p) for p in pieces]
+    def _from_words(self, pieces: list[str | tuple[int]]) -> list:
+        split = [[] if isinstance(p, tuple) else self.split(p) for p in pieces]
         values = self.words.values([w for ws in split for w in ws])
         out, at = [], 0
         for p, ws in zip(pieces, split):
             if len(ws) == 1:
                 out.append(values[at])
             else:
-                out.append(self.special(self.specials.ids[p]) if p in self.specials.ids else self.join(values[at : at + len(ws)]))
+                out.append(self.special(*p) if isinstance(p, tuple) else self.join(values[at : at + len(ws)]))
             at += len(ws)
         return out
 
-    def _pieces(self, text: str) -> Iterator[list[str]]:
+    def _pieces(self, text: str) -> Iterator[list[str | tuple[int]]]:
         for part, special in self.specials.parts(text):
             if special >= 0:
-                yield [part]
+                yield [(special,)]
             else:
                 yield from map(self.cut, slices(part))
 
