@@ -165,6 +165,18 @@ def test_toxicity(spark):
     assert len({r["score"] for r in blank}) == 1 and not any(r["predicted"] for r in blank)
 
 
+def test_toxic_rows_go_one_by_one(spark):
+    docs, labels = toxic_corpus(spark)
+    toxic, clean = "vilest scorn vileword vilehaus " * 6, "alpha beta gamma " * 20
+    more = spark.createDataFrame([(None, toxic, "y", 2), (None, clean, "y", 3), (9999, toxic, "y", 4), (9999, clean, "y", 5)], docs.schema)
+    docs = docs.union(more).withColumn("odd name", F.lit(1))
+    kept = toxicity.kept_documents(docs, labels)
+    assert kept.columns == docs.columns
+    assert {(r["doc_id"], r["text"], r["toxic"]) for r in kept.filter("scores = 'y'").collect()} == {(None, clean, 3), (9999, clean, 5)}
+    scores = toxicity.scored(docs, labels).groupBy("predicted").count()
+    assert kept.count() == scores.filter("predicted = 0").first()["count"]
+
+
 def brute_classes(rows):
     def shingles(t):
         w = (t or "").lower().split()

@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import settled, table, text_or_empty
 
@@ -193,7 +194,7 @@ def scanned(docs: DataFrame, listed: dict[str, float], other: float, columns: li
     """columns of docs with tokens (count), scores (of the maximal segments) and spans (their first and last character)."""
     model = docs.sparkSession.sparkContext.broadcast((listed, other))
     inner = docs.select(*columns, text_or_empty().alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[:-1])
+    found = StructType.fromDDL("tokens long, scores array<double>, spans array<struct<first:long,end:long>>")
     pairs = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +212,7 @@ def scanned(docs: DataFrame, listed: dict[str, float], other: float, columns: li
             arrays = [batch.column(k) for k in range(len(columns))] + [pa.array(tokens, pa.int64()), pa.array(scores, pa.list_(pa.float64())), pa.array(spans, pairs)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "tokens", "scores", "spans"])
 
-    return inner.mapInArrow(run, f"{schema}, tokens long, scores array<double>, spans array<struct<first:long,end:long>>")
+    return inner.mapInArrow(run, StructType(inner.schema.fields[:-1] + found.fields))
 
 
 def expected(score: Column, k: float) -> Column:
@@ -250,15 +251,15 @@ def logistic_fit(bins: list[tuple[float, int, int]], ridge: float = 1e-3) -> tup
     return a, b
 
 
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, evidence and passages of each row of docs, learnt from labels of docs' rows."""
+def scored(docs: DataFrame, labels: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted, evidence, passages and the carried columns of each row of docs, learnt from labels of docs' rows."""
     teach = settled(training_labels(labels), "labels")
-    own = docs.select("doc_id", text_or_empty().alias("text"))
+    own = docs.select("doc_id", text_or_empty().alias("text"), *carried)
     # at most TRAIN_ROWS pairs of numbers
     taught = own.join(F.broadcast(teach), "doc_id")
     once = settled(taught.groupBy(F.xxhash64("text")).agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")).select("doc_id", "toxic"), "taught")
     listed, other = listed_features(word_counts(own.join(F.broadcast(once.distinct()), "doc_id").select("text", "toxic")))
-    scans = scanned(docs, listed, other, ["doc_id"]).join(F.broadcast(teach), "doc_id", "left")
+    scans = scanned(own, listed, other, ["doc_id", *carried]).join(F.broadcast(teach), "doc_id", "left")
     scans = settled(scans, "scans")
     best = F.coalesce(F.array_max("scores"), F.lit(0.0))
     clean = scans.filter("toxic = 0 and tokens > 0").agg(F.count("*"), F.sum(F.col("tokens") * F.exp(-best))).first()
@@ -268,14 +269,14 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     bins = scans.filter("toxic is not null").groupBy(binned.alias("x")).agg(F.sum(F.when(F.col("toxic") > 0, 0).otherwise(1)), F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0))).collect()
     a, b = logistic_fit([tuple(r) for r in sorted(bins)])
     score = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.least(F.col("evidence"), F.lit(60.0)))))
-    out = scans.select("doc_id", held_out().alias("held_out"), score.alias("score"), "evidence", "passages")
+    out = scans.select("doc_id", held_out().alias("held_out"), score.alias("score"), "evidence", "passages", *carried)
     return out.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that aren't toxic, with their own columns. A doc_id that any of its rows makes toxic goes."""
-    toxic = scored(docs, labels).filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(toxic, "doc_id", "left_anti").select(*docs.columns)
+    """The documents that aren't toxic, with their own columns. Each row is judged by its own text, whether or not its doc_id is null or shared."""
+    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__doc"))  # apart from the scores, whatever the columns' names
+    return scored(whole, labels, ("__doc",)).filter("predicted = 0").select("__doc.*")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
