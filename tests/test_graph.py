@@ -144,6 +144,13 @@ def test_strong_components(spark, kernel_off):
         assert sorted(groups.values(), key=min) == want
 
 
+def test_strong_components_are_named_alike(spark, kernel_off):
+    rows = [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 3), (5, 5), (4, 6)]
+    for g in (Graph(arcs(spark, rows)), kernel_off(arcs(spark, rows))):
+        got = {r["node"]: r["component"] for r in structure.strong_components(g).collect()}
+        assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5, 6: 6}
+
+
 def test_estimator(spark):
     assert (coefficient(10617), first_count(10617), coefficient(1), first_count(1)) == (928, 13, 0, 1)
     g = undirected(spark, [x for x in random_graph(spark, 60, 120, 4) if x[0] != x[1]])

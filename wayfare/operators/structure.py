@@ -51,13 +51,15 @@ def components(graph: Graph) -> DataFrame:
 
 
 def strong_components(graph: Graph) -> DataFrame:
-    """node and component, the least node that it reaches and that reaches it (for small graphs; else one of these nodes)."""
+    """node and component, the least node that it reaches and that reaches it."""
     if graph.node_count() <= PAIR_NODES and graph.arrays() is not None:
         reach = pairs(graph).select("source", "node")
         back = reach.select(F.col("node").alias("source"), F.col("source").alias("node"))
         both = reach.join(back, ["source", "node"])
         return both.groupBy(F.col("source").alias("node")).agg(F.min("node").alias("component"))
-    return _colored(graph)
+    found = _colored(graph)
+    least = found.groupBy("component").agg(F.min("node").alias("__least"))
+    return found.join(least, "component").select("node", F.col("__least").alias("component"))
 
 
 def _colored(graph: Graph) -> DataFrame:
