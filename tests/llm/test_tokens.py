@@ -53,6 +53,38 @@ def test_long_texts_go_in_slices():
     assert whole == b"".join(coder.many([text[: 1 << 20].rsplit(" ", 1)[0], text[len(text[: 1 << 20].rsplit(" ", 1)[0]) :]]))
 
 
+LONG_RUNS = {"blanks": " " * 2_000_000 + "x y", "tabs": "a\t" + "\t" * 2_000_000, "lines": "two words" + "\n" * 2_000_000 + "end", "mixed": "w " * 50 + " \r\n\u2003" * 400_000 + " w"}
+
+
+@pytest.mark.parametrize("name", LONG_RUNS)
+def test_long_white_space_equals_the_library(name):
+    text = LONG_RUNS[name]
+    byte, word = (Tokenizer.from_file(p).encode(text, add_special_tokens=False).ids for p in (BYTE, WORD))
+    assert next(iter(ByteEncoder(read_vocabulary(BYTE)).many([text]))) == four_bytes(byte)
+    assert next(iter(token_counts.RankCounter(read_vocabulary(BYTE)).many([text]))) == len(byte)
+    for kind in (LibraryEncoder, bpe.BacktrackingEncoder):
+        assert next(iter(kind(read_vocabulary(WORD)).many([text]))) == four_bytes(word)
+
+
+def test_runs_of_any_length_equal_the_library(monkeypatch):
+    monkeypatch.setattr(ByteEncoder, "LONG_RUN", 2)
+    library, coder = Tokenizer.from_file(BYTE), ByteEncoder(read_vocabulary(BYTE))
+    texts = odd_texts(3000, 9)
+    for text, ids in zip(texts, coder.many(texts)):
+        assert ids == four_bytes(library.encode(text, add_special_tokens=False).ids), text
+
+
+def test_long_white_space_is_packed(spark):
+    text = "word " * 600 + " " * 1_000_000 + "word " * 600
+    docs = spark.createDataFrame([(1, text), (1, text), (2, "\t" * 1_500_000)], "doc_id long, text string")
+    got = packing.packed_documents(docs, BYTE, keep_ids=True).orderBy("doc_id", "start").collect()
+    for i, t, copies in ((1, text, 2), (2, "\t" * 1_500_000, 1)):
+        ids = Tokenizer.from_file(BYTE).encode(t, add_special_tokens=False).ids + [1]
+        pieces = {(r["start"], bytes(r["ids"])) for r in got if r["doc_id"] == i}
+        assert b"".join(p for _, p in sorted(pieces)) == four_bytes(ids)
+        assert sum(r["length"] for r in got if r["doc_id"] == i) == copies * len(ids)
+
+
 def test_decoding_equals_the_library():
     library, decoder = Tokenizer.from_file(WORD), bpe.Decoder(read_vocabulary(WORD))
     decoder.STEP = 7
@@ -167,9 +199,23 @@ def test_packing(spark, odd_docs, odd_rows, no_docs):
             assert offset == at
             at += length
         assert at <= 2048
-    want = Counter(four_bytes(library.encode(t or "", add_special_tokens=False).ids + [1]) for _, t, *_ in odd_rows)
-    assert sum(map(len, want.elements())) == 4 * sum(r["length"] for r in got)
-    for (_, total), parts in docs.items():
-        assert sum(len(p) for _, p in parts) % (4 * total) == 0
+    want = Counter((i, four_bytes(library.encode(t or "", add_special_tokens=False).ids + [1])) for i, t, *_ in odd_rows)
+    pieces = Counter((r["doc_id"], r["doc_tokens"], r["start"], bytes(r["ids"])) for r in got)
+    for (i, ids), copies in want.items():
+        starts = [*range(0, len(ids) // 4, 2048)]
+        if len(ids) // 4 - starts[-1] > 1024 and len(ids) // 4 % 2048:
+            starts.append(starts[-1] + 1024)
+        for at, end in zip(starts, [*starts[1:], len(ids) // 4]):
+            pieces[i, len(ids) // 4, at, ids[4 * at : 4 * end]] -= copies
+    assert not any(pieces.values())
     assert len(windows) <= sum(r["length"] for r in got) / 2048 + 2
     assert packing.packed_documents(no_docs, BYTE).count() == 0
+    assert packing.cut_pieces(b"", end_id=None) == []
+
+
+def test_places_are_joined_where_they_are_many(spark, odd_docs, monkeypatch):
+    found = []
+    for most in (packing.BROADCAST_PLACES, -1):
+        monkeypatch.setattr(packing, "BROADCAST_PLACES", most)
+        found.append(Counter((r["sequence_id"], r["offset"], r["length"]) for r in packing.packed_documents(odd_docs, BYTE).collect()))
+    assert found[0] == found[1]

@@ -4,14 +4,14 @@ Documents are cut at multiples of the window, and a rest of over half a window a
 longest remaining length is laid in, then a dynamic programme over bitsets (bit s: a sum s can be reached) picks the
 multiset of remaining lengths that fills the rest closest to capacity, and its counts are traced back. The pattern
 found is applied as often as the counts allow, so the plan's size depends on the window, not on the data. Pieces
-then take the places of their length in turn, ranked within salted groups.
+then take the places of their length in turn, ranked within salted groups of their numbers.
 
-Null texts are empty; an empty text still has its end id; repeated rows are packed each; ties in rank are rows alike.
+Null texts are empty; an empty text still has its end id (without one it makes no piece); repeated rows are packed each, as pieces
+are told apart by a number that is written with them.
 """
 
 from __future__ import annotations
 
-import json
 import math
 import zlib
 
@@ -25,6 +25,8 @@ from .pieces import ByteEncoder, four_bytes
 WINDOW = 2048
 END_ID = 1
 ROWS_PER_SALT = 200_000
+#: Places of a plan (48 bytes each) that are broadcast; those of a longer one are joined by shuffle.
+BROADCAST_PLACES = 200_000
 
 
 def closest_fill(room: int, counts: dict[int, int]) -> dict[int, int]:
@@ -85,35 +87,31 @@ def places(plan: list[tuple[int, dict[int, int]]]) -> list[tuple[int, int, int,
     return out
 
 
-def pack(pieces: DataFrame, length: str, order: list[str], window: int = WINDOW) -> DataFrame:
-    """Add sequence_id and offset to pieces of 1 to window tokens. order: columns that tell pieces of one length apart.
+def pack(pieces: DataFrame, length: str, number: str, window: int = WINDOW) -> DataFrame:
+    """Add sequence_id and offset to pieces of 1 to window tokens, told apart by the whole number in the column number.
 
     pieces is read several times and should be cheap to read. Only the histogram, at most window rows, comes to the driver.
     """
     spark = pieces.sparkSession
     histogram = {r[0]: r[1] for r in pieces.groupBy(length).count().collect()}
     laid = places(plan_windows(histogram, window))
-    if len(laid) > 200_000:
-        raise ValueError("the plan has more places than may be broadcast")
-    spots = spark.createDataFrame([(0, 0, 0, 0, 0, 0)], "l long, low long, high long, base long, each long, at long").limit(0)
-    if laid:
-        kind = "array<struct<l:bigint,low:bigint,high:bigint,base:bigint,each:bigint,at:bigint>>"
-        text = json.dumps([dict(zip(("l", "low", "high", "base", "each", "at"), p)) for p in laid])
-        spots = spark.range(1).select(F.explode(F.from_json(F.lit(text), kind)).alias("s")).select("s.*")
+    spots = spark.createDataFrame(laid, "__l long, low long, high long, base long, each long, at long")
+    if len(laid) <= BROADCAST_PLACES:
+        spots = F.broadcast(spots)
     salts = max(16, math.ceil(sum(histogram.values()) / ROWS_PER_SALT))
-    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
-    groups = salted.groupBy(F.col(length).alias("__l"), F.col("__salt").alias("__s")).count()
-    before = Window.partitionBy("__l").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    salted = pieces.select(F.struct(*pieces.columns).alias("__piece"), F.col(length).alias("__length"), F.col(number).alias("__n"))
+    salted = salted.withColumn("__salt", F.pmod(F.xxhash64("__n"), F.lit(salts)).cast("int"))
+    groups = salted.groupBy("__length", "__salt").count()
+    before = Window.partitionBy("__length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.withColumn("__before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    own = F.row_number().over(Window.partitionBy(length, "__salt").orderBy(*order)) - 1
-    ranked = salted.withColumn("__own", own).join(groups, (F.col(length) == F.col("__l")) & (F.col("__salt") == F.col("__s")))
-    ranked = ranked.withColumn("__rank", F.col("__own") + F.col("__before"))
-    placed = ranked.join(F.broadcast(spots), (F.col(length) == F.col("l")) & (F.col("__rank") >= F.col("low")) & (F.col("__rank") < F.col("high")))
+    own = F.row_number().over(Window.partitionBy("__length", "__salt").orderBy("__n")) - 1
+    ranked = salted.withColumn("__own", own).join(groups, ["__length", "__salt"]).withColumn("__rank", F.col("__own") + F.col("__before"))
+    placed = ranked.join(spots, (F.col("__length") == F.col("__l")) & (F.col("__rank") >= F.col("low")) & (F.col("__rank") < F.col("high")))
     step = F.col("__rank") - F.col("low")
     return placed.select(
-        *pieces.columns,
+        "__piece.*",
         (F.col("base") + F.floor(step / F.col("each"))).cast("long").alias("sequence_id"),
-        (F.col("at") + F.col(length) * F.pmod(step, F.col("each"))).cast("long").alias("offset"),
+        (F.col("at") + F.col("__length") * F.pmod(step, F.col("each"))).cast("long").alias("offset"),
     )
 
 
@@ -125,6 +123,8 @@ def cut_pieces(ids: bytes, window: int = WINDOW, end_id: int | None = END_ID, ke
     if end_id is not None:
         ids += four_bytes([end_id])
     total = len(ids) // 4
+    if not total:
+        return []
     starts = [*range(0, total, window)]
     if total - starts[-1] > window // 2 and total % window:
         starts.append(starts[-1] + window // 2)
@@ -144,8 +144,8 @@ def token_pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id:
 
 def packed_documents(docs: DataFrame, vocabulary: str, window: int = WINDOW, keep_ids: bool = False) -> DataFrame:
     """Every document's pieces with the window (sequence_id) and the offset there that each takes."""
-    pieces = settled(token_pieces(docs, vocabulary, window, keep_ids=keep_ids), "pieces")
-    return pack(pieces, "length", ["doc_id", "start", "ids_crc32", "doc_tokens"], window)
+    pieces = token_pieces(docs, vocabulary, window, keep_ids=keep_ids).withColumn("__number", F.monotonically_increasing_id())
+    return pack(settled(pieces, "pieces"), "length", "__number", window).drop("__number")
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

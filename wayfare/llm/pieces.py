@@ -230,9 +230,14 @@ class ByteEncoder:
     """Ids of whole texts for a byte-level vocabulary whose ids rank its merges: tiktoken merges them several times as fast.
 
     The ids are those that the tokenizers library gives for the same file; the vocabulary is checked to be of that kind.
+    tiktoken's pattern engine fails on very long runs of white space, so these are cut out and merged without it: all of a run
+    is one pre-token but for its last character where something else follows.
     """
 
+    LONG_RUN = 10_000
+
     def __init__(self, blob: str):
+        import regex
         import tiktoken
 
         spec = json.loads(blob)
@@ -247,13 +252,21 @@ class ByteEncoder:
         ranks = {bytes(token.translate(back).encode("latin-1")): i for token, i in model["vocab"].items()}
         self.specials = Specials(spec)
         self.engine = tiktoken.Encoding("own", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.runs = regex.compile(rf"\p{{White_Space}}{{{self.LONG_RUN},}}").finditer
+
+    def _part(self, part: str) -> Iterator[bytes]:
+        at = 0
+        for run in self.runs(part) if len(part) >= self.LONG_RUN else ():
+            end = run.end() - (run.end() < len(part))
+            yield from (four_bytes(self.engine.encode_ordinary(s)) for s in slices(part[at : run.start()]))
+            yield four_bytes(self.engine._encode_single_piece(part[run.start() : end].encode()))
+            at = end
+        yield from (four_bytes(self.engine.encode_ordinary(s)) for s in slices(part[at:] if at else part))
 
     def many(self, texts: Iterable[str]) -> Iterator[bytes]:
         for text in texts:
-            out = []
-            for part, special in self.specials.parts(text):
-                out += [four_bytes([special])] if special >= 0 else [four_bytes(self.engine.encode_ordinary(s)) for s in slices(part)]
-            yield b"".join(out)
+            parts = ([four_bytes([special])] if special >= 0 else self._part(part) for part, special in self.specials.parts(text))
+            yield b"".join(ids for part in parts for ids in part)
 
 
 _made: dict = {}
