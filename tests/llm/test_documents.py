@@ -92,44 +92,42 @@ def test_sketches_are_peeled_and_retried(spark):
         assert bits == 3 and rows[-1]["d"] is None or bits == 9 and rows[-1]["d"] is not None
 
 
+def maximal_segments(values, first=0):
+    """By their definition: the highest-scoring stretch, and the same to its left and right."""
+    stretches = [(sum(values[a:b]), a, b) for a in range(len(values)) for b in range(a + 1, len(values) + 1)]
+    score, a, b = max(stretches, default=(0, 0, 0))
+    if score <= 1e-9:
+        return []
+    return maximal_segments(values[:a], first) + [(score, first + a, first + b)] + maximal_segments(values[b:], first + b)
+
+
 def test_segments_equal_brute_force():
     rng = random.Random(3)
-    scanner = toxicity.Scanner({"bad$": 2.0, "awf": 1.0, "awful$": 3.0}, -0.5)
-    assert scanner.token("awful") == 3.0 and scanner.token("awfully") == 1.0 and scanner.token("good") is None
-    for _ in range(300):
-        words = [rng.choice(["ok", "ok", "ok", f"awf{rng.randrange(9)}", "fine"]) for _ in range(rng.randrange(25))]
-        values = [scanner.token(w) if scanner.token(w) is not None else -0.5 for w in words]
-        best = max((sum(values[a:b]) for a in range(len(words)) for b in range(a + 1, len(words) + 1)), default=0)
-        repeated = max(Counter(w for w in words if w.startswith("awf")).values(), default=0) > toxicity.TIMES
-        found = scanner.segments(words)
-        if not repeated:
-            assert max((s for s, _, _ in found), default=0) == pytest.approx(max(0, best))
-            assert all(s == pytest.approx(sum(values[a:b])) and s > 0 for s, a, b in found)
-
-
-def damped_score(scanner, words):
-    """What a stretch scores when a word counts at most TIMES times."""
-    values = {w: scanner.token(w) for w in words}
-    return sum(scanner.other if values[w] is None else values[w] * min(n, toxicity.TIMES) for w, n in Counter(words).items() for _ in range(n if values[w] is None else 1))
-
-
-def test_repeated_words_score_in_every_segment():
-    rng = random.Random(8)
-    scanner = toxicity.Scanner({"bad$": 2.0, "awf": 1.0, "awful$": 3.0, "vil": 0.6}, -0.5)
+    scanner = toxicity.Scanner({"bad$": 2.03, "awf": 1.007, "awful$": 3.11, "vil": 0.613}, -0.517)
+    assert scanner.token("awful") == 3.11 and scanner.token("awfully") == 1.007 and scanner.token("good") is None
     for _ in range(600):
         words = [rng.choice(["ok"] * rng.randrange(1, 9) + ["bad", "awful", "awfully", "vile"]) for _ in range(rng.randrange(26))]
-        stretches = [(a, b) for a in range(len(words)) for b in range(a + 1, len(words) + 1)]
-        found = scanner.segments(words)
-        assert max((s for s, _, _ in found), default=0) == pytest.approx(max([0, *(damped_score(scanner, words[a:b]) for a, b in stretches)]))
-        for score, a, b in found:
-            assert score == pytest.approx(max(damped_score(scanner, words[x:y]) for x, y in stretches if a <= x and y <= b))
-    # a passage's segment doesn't depend on what stands before it
-    passage = ["awful", "bad", "awfully", "vile"] * 2
-    (alone,) = scanner.segments(passage)
-    gap = ["ok"] * 50
-    for before in ([w for p in passage * 3 for w in [p, *gap]], (passage + gap) * 2):
-        score, a, b = scanner.segments(before + passage)[-1]
-        assert (score, a, b) == (pytest.approx(alone[0]), len(before), len(before) + len(passage))
+        values = [-0.517 if scanner.token(w) is None else scanner.token(w) for w in words]
+        found, want = scanner.segments(words), maximal_segments(values)
+        assert [x[1:] for x in found] == [x[1:] for x in want] and [x[0] for x in found] == pytest.approx([x[0] for x in want])
+
+
+def test_a_passage_scores_alike_wherever_it_stands():
+    scanner = toxicity.Scanner({"vile$": 3.0}, -0.2)
+    assert scanner.segments(["vile", "vile"] + ["ok"] * 200 + ["vile"] * 10) == [(6.0, 0, 2), (pytest.approx(30.0), 202, 212)]
+
+
+def test_decay_solves_its_equation():
+    scores = [(2.0, 5, 3, 30), (3.5, 9, 1, 4), (None, 200, 900, 5000)]
+    other = toxicity.other_score(scores)
+    decay = toxicity.decay_factor(scores, other)
+    assert other < 0 < decay
+    assert sum(n * 2.718281828459045 ** (decay * (other if s is None else s)) for s, _, _, n in scores) / 5034 == pytest.approx(1.0)
+    assert toxicity.decay_factor([], -0.01) == 1.0 and toxicity.other_score([]) == -0.01
+
+
+def test_spans_are_places_of_the_text():
+    assert toxicity.lowered("İSTANBUL Vile") == "istanbul vile" and toxicity.lowered("ÀB") == "àb"
 
 
 def toxic_corpus(spark, n=600):
@@ -148,7 +146,7 @@ def toxic_corpus(spark, n=600):
     return spark.createDataFrame(docs, "doc_id long, text string, scores string, toxic int"), spark.createDataFrame(labels, "doc_id long, toxic int")
 
 
-def test_toxicity(spark):
+def test_toxicity(spark, monkeypatch):
     docs, labels = toxic_corpus(spark)
     got = toxicity.scored(docs, labels)
     rows = got.collect()
@@ -156,6 +154,10 @@ def test_toxicity(spark):
     held = [r for r in rows if r["held_out"] and r["doc_id"] is not None and r["doc_id"] < 600]
     assert all(zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 for r in held) and len(held) > 100
     assert sum(r["predicted"] == (r["doc_id"] % 5 == 0) for r in held) / len(held) > 0.97
+    few = toxicity.training_labels(labels).count()
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", 100)
+    assert 0 < toxicity.training_labels(labels).count() < few / 2
+    monkeypatch.undo()
     hit = next(r for r in rows if r["doc_id"] == 0)
     assert hit["passages"] and hit["passages"][0]["span"]["end"] > hit["passages"][0]["span"]["first"]
     kept = {r["doc_id"] for r in toxicity.kept_documents(docs, labels).collect()}

@@ -1,18 +1,17 @@
 """Toxic passages as maximum-scoring segments of token log-odds, calibrated by extreme-value statistics.
 
-Features are whole words (runs of letters, lower case, marked by a closing $) and their first three to eight letters. Their
-log-odds between toxic and clean training texts are smoothed by a Dirichlet prior in proportion to their frequency in
-both; those whose odds exceed Z standard deviations are listed, at most MAX_FEATURES of the surest. A token scores the log-odds of
-its longest listed feature, any other token a small negative score. A linear scan finds all maximal segments of a text.
-A segment of score s in a text of m tokens is expected K m exp(-s) times by chance (scores are log-likelihood ratios, so
-the exponent's factor is 1; K comes from the clean training texts); one is significant below SIGNIFICANT. The evidence
-of a text is the sum of -log of these expectations, and a logistic curve over it, fitted to the training rows, gives the score.
-
-Every occurrence of a word is scanned. A maximal segment's score is the highest that any stretch of it has when a word counts
-at most TIMES times in the stretch and its further occurrences nothing, so that a passage that repeats a word over and over says
-no more of it. What stands elsewhere in the text changes neither a segment nor its score. In training texts a word counts at most TIMES times.
-
-Only rows whose crc32(doc_id as text) mod 3 isn't 1 teach, at most TRAIN_ROWS labelled ids (those of lowest hash). Equal
+Features are whole words (runs of letters, lower case, marked by a closing $) and their first three to eight letters. How many
+training texts of either label hold a word, summed over a feature's words, gives its log-odds, smoothed by a Dirichlet prior in
+proportion to its frequency in both. Those of at least MIN_ODDS that exceed Z standard deviations are listed, at most MAX_FEATURES of
+the surest. A token scores the log-odds of its longest listed feature, and all other tokens those of their common mass, which are
+negative. A linear scan finds all maximal segments of a text; every occurrence of a word scores alike, whatever stands elsewhere.
+
+A segment of score s in a text of m tokens is expected K m exp(-decay s) times by chance. The decay is the positive root of
+E[exp(decay score)] = 1 over the tokens of clean training texts, K the maximum-likelihood value for those texts' best
+segments; a segment is significant where fewer than SIGNIFICANT are expected. The evidence of a text is the sum of -log of these
+expectations, and a logistic curve over it, fitted to the training rows, gives the score.
+
+Only rows whose crc32(doc_id as text) mod 3 isn't 1 teach, about TRAIN_ROWS labelled ids at most (those of low hash). Equal
 texts count once. A null or empty text has no evidence and gets the score of such texts. Without labels of both kinds no
 feature is listed and every score is the share of toxic training rows, smoothed. A null doc_id is never held out nor labelled.
 """
@@ -29,15 +28,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import settled, table, text_or_empty
+from .common import discard, settled, table, text_or_empty
 
-TRAIN_ROWS = 1_000_000
+#: Labelled ids that teach; with more of them those whose hash lies below a bound that lets about so many pass.
+TRAIN_ROWS = 500_000
 MAX_FEATURES = 200_000
 PRIOR = 0.05
-Z = 4.0
-SIGNIFICANT = 0.1
+Z, MIN_ODDS = 4.0, 1.5
+SIGNIFICANT = 0.01
 SHORT, LONG = 3, 8
-TIMES = 2
 THRESHOLD = 0.7
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -48,42 +47,46 @@ def held_out() -> Column:
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
-    """doc_id and toxic of at most TRAIN_ROWS labelled ids that may teach."""
+    """doc_id and toxic of about TRAIN_ROWS labelled ids at most that may teach."""
     own = labels.filter(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     own = own.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    return own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
+    share = TRAIN_ROWS / max(1, labels.count())
+    return own if share >= 1 else own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(share * (1 << 40)))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word, toxic and clean: how often each word stands in texts of either label. docs has text and toxic."""
+    """word, t and c (how many texts of either label hold it) and n (how often it stands in clean ones). docs has text and toxic."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (Counter(), Counter())
+        kinds, often = (Counter(), Counter()), Counter()
 
         def out():
             words = list(kinds[0].keys() | kinds[1].keys())
-            made = pa.RecordBatch.from_pydict({"word": words, "t": pa.array([kinds[1][w] for w in words], pa.int64()), "c": pa.array([kinds[0][w] for w in words], pa.int64())})
-            kinds[0].clear(), kinds[1].clear()
-            return made
+            columns = [pa.array([k[w] for w in words], pa.int64()) for k in (kinds[1], kinds[0], often)]
+            for k in (*kinds, often):
+                k.clear()
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *columns], names=["word", "t", "c", "n"])
 
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
                 own = Counter(WORDS.findall(text.as_py().lower()))
-                kinds[toxic > 0].update({w: min(n, TIMES) for w, n in own.items()})
+                kinds[toxic > 0].update(own.keys())
+                if toxic <= 0:
+                    often.update(own)
             if len(kinds[0]) + len(kinds[1]) > 400_000:
                 yield out()
         yield out()
 
-    counted = docs.select("text", "toxic").mapInArrow(run, "word string, t long, c long")
-    return counted.groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counted = docs.select("text", "toxic").mapInArrow(run, "word string, t long, c long, n long")
+    return counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in "tcn"])
 
 
-def listed_features(words: DataFrame) -> tuple[dict[str, float], float]:
-    """The listed features' log-odds and the score of any other token. At most MAX_FEATURES features come to the driver."""
+def listed_features(words: DataFrame) -> dict[str, float]:
+    """The listed features' log-odds. At most MAX_FEATURES features come to the driver."""
     sums = words.agg(F.sum("t"), F.sum("c")).first()
     n_t, n_c = sums[0] or 0, sums[1] or 0
     if not n_t or not n_c:
-        return {}, -0.01
+        return {}
     heads = [F.when(F.length("word") >= k, F.substring("word", 1, k)) for k in range(SHORT, LONG + 1)]
     features = F.array_compact(F.array(F.concat("word", F.lit("$")), *heads))
     counts = words.select(F.explode(features).alias("feature"), "t", "c").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).filter("t > 1")
@@ -91,14 +94,51 @@ def listed_features(words: DataFrame) -> tuple[dict[str, float], float]:
     total = PRIOR * (n_t + n_c)
     y_t, y_c = F.col("t") + prior, F.col("c") + prior
     odds = F.log(y_t / (n_t + total - y_t)) - F.log(y_c / (n_c + total - y_c))
-    sure = counts.select("feature", "t", "c", odds.alias("odds"), (odds / F.sqrt(1 / y_t + 1 / y_c)).alias("z")).filter(F.col("z") > Z)
-    rows = sure.orderBy(F.col("z").desc(), "feature").limit(MAX_FEATURES).collect()
-    # parts of tokens whose first letters or whole words are listed, for the score of all others
-    listed = {r["feature"]: r["odds"] for r in rows}
-    part_t = sum(r["t"] for r in rows if len(r["feature"]) == SHORT or r["feature"].endswith("$")) / n_t
-    part_c = sum(r["c"] for r in rows if len(r["feature"]) == SHORT or r["feature"].endswith("$")) / n_c
-    other = math.log(max(1e-6, 1 - part_t) / max(1e-6, 1 - part_c))
-    return listed, min(-0.01, max(-0.2, other))
+    sure = counts.select("feature", odds.alias("odds"), (odds / F.sqrt(1 / y_t + 1 / y_c)).alias("z")).filter((F.col("z") > Z) & (F.col("odds") >= MIN_ODDS))
+    return {r["feature"]: r["odds"] for r in sure.orderBy(F.col("z").desc(), "feature").limit(MAX_FEATURES).collect()}
+
+
+def token_scores(words: DataFrame, listed: dict[str, float]) -> list[tuple[float | None, int, int, int]]:
+    """score (None: not listed) and the sums of t, c and n of the words that have it; no more rows than listed features and one."""
+    model = words.sparkSession.sparkContext.broadcast(listed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(model.value, 0.0)
+        for batch in batches:
+            scores = pa.array([scanner.token(w) for w in batch.column(0).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([scores, *batch.columns[1:]], names=["score", "t", "c", "n"])
+
+    rows = words.select("word", "t", "c", "n").mapInArrow(run, "score double, t long, c long, n long")
+    return [tuple(r) for r in rows.groupBy("score").agg(F.sum("t"), F.sum("c"), F.sum("n")).collect()]
+
+
+def other_score(scores: list[tuple]) -> float:
+    """The log-odds of all tokens that aren't listed, taken together; below 0, as a scan needs."""
+    rest = next((r for r in scores if r[0] is None), (None, 0, 0, 0))
+    sums = [sum(r[k] for r in scores) for k in (1, 2)]
+    if not all(sums):
+        return -0.01
+    return min(-0.01, math.log((rest[1] + 1) / (sums[0] + 1)) - math.log((rest[2] + 1) / (sums[1] + 1)))
+
+
+def decay_factor(scores: list[tuple], other: float) -> float:
+    """The positive root of E[exp(x score)] = 1 over clean tokens; 1 where no clean token has a listed feature (log-odds have the root 1)."""
+    total = sum(r[3] for r in scores)
+    own = [(r[0], r[3] / total) for r in scores if r[0] is not None and r[3]] if total else []
+    rest = 1 - sum(q for _, q in own)
+
+    def excess(x: float) -> float:
+        return sum(q * math.exp(min(500.0, x * s)) for s, q in own) + rest * math.exp(x * other) - 1
+
+    if not own or sum(q * s for s, q in own) + rest * other >= 0:
+        return 1.0
+    low, high = 0.0, 1.0
+    while excess(high) < 0:
+        low, high = high, 2 * high
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if excess(middle) < 0 else (low, middle)
+    return high
 
 
 class Scanner:
@@ -109,6 +149,8 @@ class Scanner:
         self.heads = {f[:SHORT].rstrip("$") for f in listed}
 
     def token(self, word: str) -> float | None:
+        if word[:SHORT] not in self.heads:
+            return None
         found = self.listed.get(word + "$")
         for k in range(min(LONG, len(word)), SHORT - 1, -1):
             if found is not None:
@@ -119,10 +161,11 @@ class Scanner:
     def segments(self, words: list[str]) -> list[tuple[float, int, int]]:
         """(score, first token, token after the last) of the maximal segments, in order; each token is handled once."""
         heads, token = self.heads, self.token
-        hits = [(i, s, w) for i, w in enumerate(words) if w[:SHORT] in heads and (s := token(w)) is not None]
         found: list[tuple[float, float, int, int, int]] = []  # sums before and after, tokens, the nearest one before with a smaller sum before it
         total, at = 0.0, 0
-        for i, score, _ in hits:
+        for i, word in enumerate(words):
+            if word[:SHORT] not in heads or (score := token(word)) is None:
+                continue
             total += self.other * (i - at)
             low, first, at = total, i, i + 1
             total += score
@@ -135,59 +178,13 @@ class Scanner:
                     break
                 low, first = found[j][0], found[j][2]
                 del found[j:]
-        segments = [(after - before, a, b) for before, after, a, b, _ in found if after > before]
-        if max(Counter(w for _, _, w in hits).values(), default=0) <= TIMES:
-            return segments
-        out, at = [], 0
-        for score, a, b in segments:
-            while hits[at][0] < a:
-                at += 1
-            end = at
-            while end < len(hits) and hits[end][0] < b:
-                end += 1
-            own, at = hits[at:end], end
-            repeated = max(Counter(w for _, _, w in own).values()) > TIMES
-            out.append((self.damped(own) if repeated else score, a, b))
-        return out
-
-    def damped(self, hits: list[tuple[int, float, str]]) -> float:
-        """The highest score of a stretch of these (place, score, word), where a word's occurrences beyond TIMES add nothing.
-
-        Stretches that end at the hit at hand begin at one of the live starts. What a hit adds to a start it adds to all later ones,
-        so a start whose stretch scores no more than a later one's never leads again. lead holds by how much each live start
-        leads the next (the last one an empty stretch); their sum is the score of the first, which is the highest.
-        """
-        lead, up, places = [0.0], [0], {}  # by start from 1; up points from starts that aren't live to earlier ones
-        best = total = 0.0
-
-        def live(k: int) -> int:
-            while up[k] != k:
-                up[k] = k = up[up[k]]
-            return k
-
-        def lower(k: int, by: float) -> float:
-            """Take from a start's lead; by how much the sum of all grows as starts that lead no more leave."""
-            lead[k] -= by
-            while lead[k] <= 0:
-                up[k] = k - 1
-                before = live(k)
-                if not before:
-                    return -lead[k]
-                lead[before] += lead[k]
-                k = before
-            return 0.0
-
-        at = hits[0][0]
-        for n, (i, score, word) in enumerate(hits, 1):
-            if i > at and (k := live(n - 1)):
-                total += self.other * (i - at)
-                total += lower(k, -self.other * (i - at))
-            seen = places.setdefault(word, [])
-            k = live(seen[-TIMES]) if len(seen) >= TIMES else 0
-            lead.append(score), up.append(n), seen.append(n)
-            total += lower(k, score) if k else score
-            best, at = max(best, total), i + 1
-        return best
+        return [(after - before, a, b) for before, after, a, b, _ in found]
+
+
+def lowered(text: str) -> str:
+    """text in lower case, a character for each of its own, so that places in it are places in the text."""
+    out = text.lower()
+    return out if len(out) == len(text) else "".join(c.lower()[0] for c in text)
 
 
 def scanned(docs: DataFrame, listed: dict[str, float], other: float, columns: list[str]) -> DataFrame:
@@ -202,7 +199,7 @@ def scanned(docs: DataFrame, listed: dict[str, float], other: float, columns: li
         for batch in batches:
             tokens, scores, spans = [], [], []
             for value in batch.column(len(columns)):
-                text = value.as_py().lower()
+                text = lowered(value.as_py())
                 words = WORDS.findall(text)
                 segments = scanner.segments(words)
                 tokens.append(len(words))
@@ -215,17 +212,17 @@ def scanned(docs: DataFrame, listed: dict[str, float], other: float, columns: li
     return inner.mapInArrow(run, StructType(inner.schema.fields[:-1] + found.fields))
 
 
-def expected(score: Column, k: float) -> Column:
-    """How many segments of this score a clean text of so many tokens has by chance."""
-    return F.lit(k) * F.col("tokens") * F.exp(-score)
+def log_expected(score: Column, k: float, decay: float) -> Column:
+    """The log of how many segments of this score a clean text of so many tokens has by chance."""
+    return F.lit(math.log(k)) + F.log(F.col("tokens").cast("double")) - F.lit(decay) * score
 
 
-def with_evidence(scans: DataFrame, k: float) -> DataFrame:
+def with_evidence(scans: DataFrame, k: float, decay: float) -> DataFrame:
     """Add passages (score, first and end character of the significant segments) and evidence."""
     joined = F.arrays_zip(F.col("scores").alias("score"), F.col("spans").alias("span"))
-    kept = F.filter(joined, lambda x: expected(x["score"], k) < SIGNIFICANT)
+    kept = F.filter(joined, lambda x: log_expected(x["score"], k, decay) < math.log(SIGNIFICANT))
     out = scans.withColumn("passages", kept)
-    return out.withColumn("evidence", F.aggregate("passages", F.lit(0.0), lambda a, x: a - F.log(expected(x["score"], k))))
+    return out.withColumn("evidence", F.aggregate("passages", F.lit(0.0), lambda a, x: a - log_expected(x["score"], k, decay)))
 
 
 def logistic_fit(bins: list[tuple[float, int, int]], ridge: float = 1e-3) -> tuple[float, float]:
@@ -255,16 +252,22 @@ def scored(docs: DataFrame, labels: DataFrame, carried: tuple[str, ...] = ()) ->
     """doc_id, held_out, score, predicted, evidence, passages and the carried columns of each row of docs, learnt from labels of docs' rows."""
     teach = settled(training_labels(labels), "labels")
     own = docs.select("doc_id", text_or_empty().alias("text"), *carried)
-    # at most TRAIN_ROWS pairs of numbers
+    # about TRAIN_ROWS pairs of numbers at most
     taught = own.join(F.broadcast(teach), "doc_id")
     once = settled(taught.groupBy(F.xxhash64("text")).agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")).select("doc_id", "toxic"), "taught")
-    listed, other = listed_features(word_counts(own.join(F.broadcast(once.distinct()), "doc_id").select("text", "toxic")))
+    words = settled(word_counts(own.join(F.broadcast(once.distinct()), "doc_id").select("text", "toxic")), "words")
+    listed = listed_features(words)
+    by_score = token_scores(words, listed)
+    other = other_score(by_score)
+    decay = decay_factor(by_score, other)
     scans = scanned(own, listed, other, ["doc_id", *carried]).join(F.broadcast(teach), "doc_id", "left")
     scans = settled(scans, "scans")
+    for done in (words, once, teach):
+        discard(done)
     best = F.coalesce(F.array_max("scores"), F.lit(0.0))
-    clean = scans.filter("toxic = 0 and tokens > 0").agg(F.count("*"), F.sum(F.col("tokens") * F.exp(-best))).first()
+    clean = scans.filter("toxic = 0 and tokens > 0").agg(F.count("*"), F.sum(F.col("tokens") * F.exp(-F.lit(decay) * best))).first()
     k = clean[0] / clean[1] if clean[0] else 1e-3
-    scans = with_evidence(scans, k)
+    scans = with_evidence(scans, k, decay)
     binned = F.round(F.least(F.col("evidence"), F.lit(60.0)) * 4) / 4
     bins = scans.filter("toxic is not null").groupBy(binned.alias("x")).agg(F.sum(F.when(F.col("toxic") > 0, 0).otherwise(1)), F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0))).collect()
     a, b = logistic_fit([tuple(r) for r in sorted(bins)])
