@@ -1,5 +1,6 @@
 """Hand-computed graphs, differential tests and properties."""
 
+import json
 import os
 import random
 from fractions import Fraction
@@ -111,6 +112,47 @@ def test_kernel_equals_joins(spark, kernel_off):
     assert a == pytest.approx(b)
 
 
+def test_distributed_search_in_many_sweeps(spark, kernel_off, monkeypatch):
+    """Several sweeps, hubs over salts, and no pairs unless they are asked for."""
+    from wayfare.operators import traversal
+
+    rows = arcs(spark, random_graph(spark, 150, 400, 11) + [(0, k) for k in range(1, 40)])  # directed, with loops and repeats
+    rows = rows.distinct()
+    fast = Graph(rows)
+    want = {c: sorted(map(tuple, df.collect())) for c, df in (("h", histogram(fast).select("source", "dist", "cnt", "arcs")), ("p", pairs(fast)))}
+    weights = fast.vertices.select("id", (F.col("id") % 5 + 0.5).alias("weight"))
+    sums = {(r["far"], r["node"]): r["value"] for r in traversal.sums_and_farness(fast, weights).collect()}
+    for name, value in (("SWEEP_WORDS", 1), ("SWEEP", 64), ("HUB_ARCS", 3)):
+        monkeypatch.setattr(traversal, name, value)
+    slow = kernel_off(rows)
+    assert slow.spread()[1].count() > 10
+    assert sorted(map(tuple, pairs(slow).select("source", "node", "dist").collect())) == want["p"]
+    monkeypatch.setattr(traversal, "frontier_pairs", None)
+    assert sorted(map(tuple, histogram(slow).select("source", "dist", "cnt", "arcs").collect())) == want["h"]
+    got = {(r["far"], r["node"]): r["value"] for r in traversal.sums_and_farness(slow, weights).collect()}
+    assert got == pytest.approx(sums) and sum(far for far, _ in got) == fast.node_count()
+
+
+def test_numbering_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(etl, "RANGE_ROWS", 7)
+    rng = random.Random(13)
+    rows = [(rng.choice([None, 1, 1, 1, 1, 2, 3, 9]), k, rng.random()) for k in range(200)]
+    df = spark.createDataFrame(rows, "g long, k long, x double")
+    want, counts = {}, {}
+    for g, k, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        want[k] = counts[g] = counts.get(g, -1) + 1
+    assert {r["k"]: r["n"] for r in etl.numbered_within(df, "g", [F.col("k")], "n").collect()} == want
+    assert [r["k"] for r in sorted(etl.numbered(df, ["x", "k"], "n").collect(), key=lambda r: r["n"])] == [k for _, k, _ in sorted(rows, key=lambda r: r[2])]
+    assert etl.numbered_within(df.limit(0), "g", [F.col("k")], "n").count() == 0
+
+
+def test_top_with_ties(spark):
+    scores = spark.createDataFrame([(k, float(v)) for k, v in enumerate([5, 3, 3, 9, 3, 1, 9])], "node long, closeness double")
+    for k, want in ((0, []), (1, [(3, 9.0, 1), (6, 9.0, 1)]), (4, [(0, 5.0, 3), (1, 3.0, 4), (2, 3.0, 4), (3, 9.0, 1), (4, 3.0, 4), (6, 9.0, 1)])):
+        assert sorted(map(tuple, ranking.top_with_ties(scores, k).collect())) == want
+    assert ranking.top_with_ties(scores, 99).count() == 7
+
+
 def test_distances_are_metric(spark):
     g = undirected(spark, [x for x in random_graph(spark, 30, 45, 2) if x[0] != x[1]])
     d = {(r["source"], r["node"]): r["dist"] for r in pairs(g).collect()}
@@ -149,6 +191,10 @@ def test_strong_components_are_named_alike(spark, kernel_off):
     for g in (Graph(arcs(spark, rows)), kernel_off(arcs(spark, rows))):
         got = {r["node"]: r["component"] for r in structure.strong_components(g).collect()}
         assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5, 6: 6}
+    assert structure.strong_components(kernel_off(arcs(spark, []))).count() == 0
+    many = random_graph(spark, 80, 110, 16)
+    both = [sorted(map(tuple, structure.strong_components(g).collect())) for g in (Graph(arcs(spark, many)), kernel_off(arcs(spark, many)))]
+    assert both[0] == both[1]
 
 
 def test_estimator(spark):
@@ -171,7 +217,39 @@ def test_threshold_needs_fewer_searches(spark):
     found = threshold_top(g, 3)
     exact = ranking.top_with_ties(measures(histogram(g)), 3)
     assert sorted(map(tuple, found.top.collect())) == sorted(map(tuple, exact.collect()))
-    assert found.estimate_searches > 0
+    assert found.estimate_searches > 0 and found.distinct_searches <= found.total_searches and set(found.seconds) == {"estimate", "schedule", "search"}
+
+
+def test_threshold_on_many_components(spark):
+    """A large component, many small ones and isolated nodes: the answer is exact and most nodes are never searched."""
+    from wayfare.plans import threshold
+
+    rng = random.Random(14)
+    rows = [(k, (k + d) % 900) for k in range(900) for d in (1, 30)] + [(k, rng.randrange(900)) for k in range(900)]
+    rows += [(2000 + 5 * c + a, 2000 + 5 * c + b) for c in range(40) for a in range(5) for b in range(a)]
+    g = Graph(etl.symmetrized(arcs(spark, [x for x in rows if x[0] != x[1]])), spark.range(5000, 5020))
+    found = threshold_top(g, 3, eps=0.5)
+    exact = ranking.top_with_ties(measures(histogram(g)), 3)
+    assert sorted(map(tuple, found.top.collect())) == sorted(map(tuple, exact.collect())) and found.top.count() == 200
+    assert found.distinct_searches < g.node_count() - 300
+    whole = threshold_top(g, 5000, eps=0.5)
+    assert whole.top.count() == g.node_count()
+    runs = {r["k"]: r for r in threshold.sweep(g, [1, 20, 4000], [1, 2], eps=0.5).collect()}
+    assert runs[1]["avg_bfs"] <= runs[20]["avg_bfs"] <= runs[4000]["avg_bfs"] and runs[4000]["avg_bfs_made"] == g.node_count() - 20
+
+
+def test_known_nodes_are_not_searched_again(spark, monkeypatch):
+    from wayfare.plans import threshold
+
+    g = undirected(spark, [x for x in random_graph(spark, 60, 150, 15) if x[0] != x[1]])
+    made = estimate(g)  # every node is sampled
+    far = {r["node"]: r["farness"] for r in made.known.collect()}
+    assert far == {k: v[0] for k, v in scores(g).items()}
+    searched = []
+    plain = threshold.exact_farness
+    monkeypatch.setattr(threshold, "exact_farness", lambda graph, sources: searched.append(sources.count()) or plain(graph, sources))
+    found = threshold_top(g, 4, made)
+    assert sum(searched) == 0 and found.distinct_searches == g.node_count() < found.total_searches
 
 
 def test_progressive(spark):
@@ -198,8 +276,52 @@ def test_files(spark, tmp_path):
         with open(f"{tmp_path}/in/{name}.json", "w") as f:
             f.write('{"1": [2.0, 1.0]}')
     assert [r["name"] for r in files.merged_reports(spark, f"{tmp_path}/in").collect()] == ["r9.json", "r10.json"]
-    files.write_experiment(spark.createDataFrame([(1, 2.0, 1.0)], "k int, avg_bfs double, avg_bfs_apx double"), f"{tmp_path}/e")
+    files.write_merged(spark, f"{tmp_path}/in", f"{tmp_path}/merged.txt")
+    with open(f"{tmp_path}/merged.txt") as f:
+        assert json.load(f) == [{"1": [2.0, 1.0]}] * 2
+    runs = spark.createDataFrame([(1, 2.0, 1.0)], "k int, avg_bfs double, avg_bfs_apx double")
+    files.write_experiment(runs, f"{tmp_path}/e")
+    assert files.read_experiment(spark, f"{tmp_path}/e").collect() == runs.collect()
     files.write_snapshots(snapshot(g, 1), f"{tmp_path}/s")
+    assert sorted(map(tuple, files.read_snapshots(spark, f"{tmp_path}/s").collect())) == sorted(map(tuple, snapshot(g, 1).collect()))
+    (opened,) = [files.open_graph(spark, f"{tmp_path}/t", text=True).node_count()]
+    assert opened == 5
+
+
+def test_large_reports_are_refused(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "ARRAY_NODES", 2)
+    monkeypatch.setattr(files, "MERGED_BYTES", 3)
+    with pytest.raises(ValueError):
+        files.write_ground_truth_arrays(measures(histogram(undirected(spark, PATH5))), f"{tmp_path}/a")
+    files.write_report(spark.range(5), f"{tmp_path}/r", "one")
+    assert os.listdir(f"{tmp_path}/r")[-1].endswith(("json", "crc"))
+    with pytest.raises(ValueError):
+        files.write_merged(spark, f"{tmp_path}/r", f"{tmp_path}/m")
+
+
+def test_command_lines(spark, tmp_path, capsys):
+    from wayfare.__main__ import main, sizes
+
+    t = str(tmp_path)
+    with open(f"{t}/g.txt", "w") as f:
+        f.write("".join(f"{a} {b}\n" for a, b in PATH5 + [(6, 6)]))
+    main(["top", "-t", "-e", "--k", "2", "--out", f"{t}/top", f"{t}/g"], spark)
+    assert {(r["node"], r["rank"]) for r in spark.read.json(f"{t}/top").collect()} == {(2, 1), (1, 2), (3, 2)}
+    main(["top", "-t", "--ks", "1,2:5:2", "--rounds", "1", "--out", f"{t}/sweep", f"{t}/g"], spark)
+    assert sorted(r["k"] for r in files.read_experiment(spark, f"{t}/sweep").collect()) == [1, 2, 4] == sizes("1,2:5:2")
+    assert "components 3" in capsys.readouterr().out  # the path, the loop and the isolated node 5
+    main(["clean", f"{t}/g.txt", f"{t}/clean"], spark)
+    main(["dense", f"{t}/g.txt", f"{t}/dense"], spark)
+    main(["measures", "-m", f"{t}/dense", *(f"{t}/{m}" for m in ("c", "l", "h", "x", "r"))], spark)
+    assert {r["node"]: r["reachable"] for r in spark.read.parquet(f"{t}/r").collect()} == {0: 5, 1: 4, 2: 3, 3: 2, 4: 1, 5: 1}
+    main(["exact", "--arrays", f"{t}/dense", f"{t}/truth"], spark)
+    assert files.read_ground_truth_arrays(spark, f"{t}/truth").count() == 6
+    main(["symmetrize", f"{t}/dense", f"{t}/both"], spark)
+    assert spark.read.text(f"{t}/both").count() == 9
+    files.write_report(spark.range(1), f"{t}/reports", "a")
+    main(["merge", f"{t}/reports", f"{t}/merged"], spark)
+    with open(f"{t}/merged") as f:
+        assert json.load(f) == [{"id": 0}]
 
 
 def test_inversions(spark):

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfare.sources.shared import settled
+from wayfare.sources.shared import discard, settled
+
+#: Rows that one task ranks.
+RANGE_ROWS = 200_000
 
 
 def tokens(line: Column) -> Column:
@@ -50,15 +53,48 @@ def vertices_of(arcs: DataFrame) -> DataFrame:
     return arcs.select(F.col("src").alias("id")).union(arcs.select(F.col("dst").alias("id"))).distinct()
 
 
-def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """df with its rank from 0 in the given order, without sorting all rows in one task: ranges are ranked apart and shifted by the sizes of those before."""
-    parts = df.sparkSession.sparkContext.defaultParallelism
-    ranged = settled(df.repartitionByRange(parts, *order).withColumn("__range_no", F.spark_partition_id()), "ranged")
+def in_ranges(df: DataFrame, order: list[Column | str]) -> tuple[DataFrame, DataFrame]:
+    """df, written in ranges of the given order with __range_no and __range_own (the place there, from 0), and __range_first, the rows before each range.
+
+    As many ranges as rows need, RANGE_ROWS each; all ties of the order may share one, so it should end in a unique column.
+    """
+    written = hasattr(df, "settled_path")
+    held = df if written else settled(df, "unranged")
+    parts = max(1, -(-held.count() // RANGE_ROWS))
+    ranged = settled(held.repartitionByRange(parts, *order).withColumn("__range_no", F.spark_partition_id()), "ranged")
+    if not written:
+        discard(held)
     sizes = ranged.groupBy("__range_no").count()
     before = Window.orderBy("__range_no").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     firsts = sizes.select("__range_no", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__range_first"))
     own = F.row_number().over(Window.partitionBy("__range_no").orderBy(*order)) - 1
-    return ranged.withColumn("__range_own", own).join(F.broadcast(firsts), "__range_no").select(*df.columns, (F.col("__range_first") + F.col("__range_own")).alias(name))
+    return ranged.withColumn("__range_own", own), firsts
+
+
+def numbered(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
+    """df with its rank from 0 in the given order, without sorting all rows in one task: ranges are ranked apart and shifted by the sizes of those before."""
+    ranged, firsts = in_ranges(df, order)
+    return ranged.join(F.broadcast(firsts), "__range_no").select(*df.columns, (F.col("__range_first") + F.col("__range_own")).alias(name))
+
+
+def numbered_within(df: DataFrame, group: str, order: list[Column | str], name: str) -> DataFrame:
+    """df with its rank from 0 among the rows that share group (nulls together). A large group spans ranges; each range learns where the group that enters it began."""
+    ranged, firsts = in_ranges(df, [F.col(group).asc_nulls_first(), *order])
+    ranged = ranged.join(F.broadcast(firsts), "__range_no").withColumn("__at", F.col("__range_first") + F.col("__range_own"))
+    starts = ranged.groupBy(F.col("__range_no").alias("__no"), F.col(group).alias("__group")).agg(F.min("__at").alias("__start"))
+    ends = starts.groupBy("__no").agg(F.min_by(F.struct("__group", "__start"), "__start").alias("__low"), F.max_by(F.struct("__group", "__start"), "__start").alias("__high"))
+    # a range for each row: the group at its beginning goes on if it is the last one of the range before; where it began is the start of that run
+    walk = Window.orderBy("__no")
+    goes_on = F.col("__low")["__group"].eqNullSafe(F.lag("__high").over(walk)["__group"]) & F.lag("__high").over(walk).isNotNull()
+    ends = ends.withColumn("__on", goes_on)
+    fresh = F.when(~F.col("__on") | (F.col("__high")["__start"] > F.col("__low")["__start"]), F.col("__high")["__start"])  # the last group of this range begins in it
+    ends = ends.withColumn("__fresh", fresh)
+    entered = F.when(F.col("__on"), F.last("__fresh", True).over(walk.rowsBetween(Window.unboundedPreceding, -1)))
+    carried = ends.select(F.col("__no").alias("__range_no"), F.col("__low")["__group"].alias("__enters"), entered.alias("__began"))
+    here = F.min("__at").over(Window.partitionBy("__range_no", group))
+    joined = ranged.withColumn("__here", here).join(F.broadcast(carried), "__range_no")
+    began = F.when(F.col("__began").isNotNull() & F.col(group).eqNullSafe(F.col("__enters")), F.col("__began")).otherwise(F.col("__here"))
+    return joined.select(*df.columns, (F.col("__at") - began).alias(name))
 
 
 def dense_ids(lines: DataFrame, line_no: str = "line_no", value: str = "value") -> DataFrame:

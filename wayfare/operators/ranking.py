@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from wayfare.functions.arcs import numbered
 from wayfare.functions.measures import normalized, normalized_estimate
+from wayfare.sources.shared import settled
 
 
 def top_with_ties(scores: DataFrame, k: int, score: str = "closeness") -> DataFrame:
-    """node, score and rank of the k best and all that tie with the last of them. Only the k-th best score is looked up globally."""
-    k = min(k, scores.count())
-    if not k:
-        return scores.select("node", score, F.lit(0).alias("rank")).limit(0)
-    bound = scores.select(score).orderBy(F.desc(score)).limit(k).agg(F.min(score)).first()[0]
-    return scores.filter(F.col(score) >= F.lit(bound)).select("node", score, F.rank().over(Window.orderBy(F.desc(score))).alias("rank"))
+    """node, score and rank of the k best and all that tie with the last of them. Scores are settled once; ranks are those of distinct scores, k at most."""
+    held = settled(scores.select("node", score), "scores")
+    counts = held.groupBy(score).agg(F.count("*").alias("__rows")).orderBy(F.desc(score)).limit(max(k, 0))
+    ranks = counts.select(F.col(score).alias("__score"), F.coalesce(F.sum("__rows").over(Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__above"))
+    joined = held.join(F.broadcast(ranks.filter(F.col("__above") < k)), F.col(score) == F.col("__score"))
+    return joined.select("node", score, (F.col("__above") + 1).cast("int").alias("rank"))
 
 
 def ranked(scores: DataFrame, order: list[Column | str], name: str = "rank") -> DataFrame:

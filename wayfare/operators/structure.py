@@ -64,27 +64,31 @@ def strong_components(graph: Graph) -> DataFrame:
 
 def _colored(graph: Graph) -> DataFrame:
     """Forward colours (the greatest node that reaches a node), then backward from each colour's own node; what is found leaves, and again."""
-    left, arcs, found = settled(graph.vertices.select(F.col("id").alias("node")), "left"), settled(graph.arcs, "arcs"), []
+    left, arcs = settled(graph.vertices.select(F.col("id").alias("node")), "left"), settled(graph.arcs, "arcs")
+    found = None
     while not left.isEmpty():
-        color = settled(left.withColumn("color", F.col("node")), "color")
-        while True:
+        color = settled(left.select("node", F.col("node").alias("color"), F.lit(True).alias("__up")), "color")
+        while not color.filter("__up").isEmpty():
             sent = color.join(arcs, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.max("color").alias("__sent"))
-            after = color.join(sent, "node", "left").select("node", F.greatest("color", F.coalesce("__sent", "color")).alias("color"), (F.col("__sent") > F.col("color")).alias("__up"))
-            after = settled(after, "color")
+            after = color.select("node", "color").join(sent, "node", "left")
+            after = settled(after.select("node", F.greatest("color", F.coalesce("__sent", "color")).alias("color"), F.coalesce(F.col("__sent") > F.col("color"), F.lit(False)).alias("__up")), "color")
             discard(color)
-            color = after.drop("__up")
-            if after.filter("__up").isEmpty():
-                break
-        front = all_ = settled(color.filter("node = color"), "back")
-        while not front.isEmpty():
-            to = arcs.select(F.col("dst").alias("node"), F.col("src").alias("__to"))
-            step = front.join(to, "node").select(F.col("__to").alias("node"), "color").join(color, ["node", "color"], "left_semi").distinct()
-            front = settled(step.join(all_, ["node", "color"], "left_anti"), "back")
-            all_ = all_.union(front)
-        found.append(settled(all_.select("node", F.col("color").alias("component")), "strong"))
-        left = settled(left.join(found[-1], "node", "left_anti"), "left")
-        arcs = settled(arcs.join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"), "arcs")
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out
+            color = after
+        own = color.select("node", "color")
+        to = arcs.select(F.col("dst").alias("node"), F.col("src").alias("__to"))
+        back = settled(own.filter("node = color").withColumn("__new", F.lit(True)), "back")
+        while not back.filter("__new").isEmpty():
+            step = back.filter("__new").join(to, "node").select(F.col("__to").alias("node"), "color").join(own, ["node", "color"], "left_semi").distinct()
+            fresh = step.join(back, ["node", "color"], "left_anti").withColumn("__new", F.lit(True))
+            after = settled(back.withColumn("__new", F.lit(False)).union(fresh), "back")
+            discard(back)
+            back = after
+        strong = back.select("node", F.col("color").alias("component"))
+        more = settled(strong if found is None else found.union(strong), "strong")
+        rest = settled(left.join(more, "node", "left_anti"), "left")
+        kept = arcs.join(rest.withColumnRenamed("node", "src"), "src", "left_semi").join(rest.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
+        fewer = settled(kept, "arcs")
+        for old in (color, back, left, arcs, *([] if found is None else [found])):
+            discard(old)
+        found, left, arcs = more, rest, fewer
+    return found if found is not None else graph.vertices.select(F.col("id").alias("node"), F.col("id").alias("component"))

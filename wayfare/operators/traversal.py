@@ -1,8 +1,10 @@
 """Breadth-first search from many sources.
 
 A graph of at most KERNEL_ARCS arcs goes to the executors as sorted arrays, and each task runs its sources 64 to a word: a node
-holds a bit for each source, a level is one gather and one grouped or over the arcs. Larger graphs stay distributed: the
-frontier is joined with the arcs level by level. Both give the same rows; unreached nodes have none.
+holds a bit for each source, a level is one gather and one grouped or over the arcs. Larger graphs stay distributed in the same
+form: SWEEP sources at a time, a row for each reached node holds their bits in words, and a level is a join of the frontier with the
+arcs and an or by target. Each level is folded into what is asked for, and only the last state is kept, so that neither way writes pairs of nodes
+unless they are the answer. Both give the same rows; unreached nodes have none.
 """
 
 from __future__ import annotations
@@ -14,12 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.functions.arcs import vertices_of
+from wayfare.functions.arcs import numbered, vertices_of
 from wayfare.sources.shared import discard, settled
 
 #: 16 bytes each, so at most 80 MB are broadcast.
 KERNEL_ARCS = 5_000_000
 WORDS = 4
+#: Words of a sweep over a distributed graph, and its sources.
+SWEEP_WORDS = 8
+SWEEP = 64 * SWEEP_WORDS
+#: Out-arcs of a node that are joined in one task; those of a greater one are dealt to several.
+HUB_ARCS = 1_000_000
 
 
 class Graph:
@@ -30,7 +37,7 @@ class Graph:
         self.arcs = arcs.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint"))
         found = vertices_of(self.arcs)
         self.vertices = found if vertices is None else found.union(vertices.select(F.col("id").cast("bigint"))).distinct()
-        self.kernel_arcs, self._arrays, self._nodes = kernel_arcs, None, None
+        self.kernel_arcs, self._arrays, self._nodes, self._spread = kernel_arcs, None, None, None
 
     def node_count(self) -> int:
         if self._nodes is None:
@@ -55,6 +62,19 @@ class Graph:
         return self._arrays or None
 
 
+    def spread(self) -> tuple[DataFrame, DataFrame]:
+        """Arcs (node, __salt, __to, __degree of __to) and nodes with more than HUB_ARCS out-arcs (node, __salts), over whose salts their arcs are dealt."""
+        if self._spread is None:
+            degree = settled(self.arcs.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("__degree")), "degrees")
+            hubs = settled(degree.filter(F.col("__degree") > HUB_ARCS).select("node", F.ceil(F.col("__degree") / HUB_ARCS).cast("int").alias("__salts")), "hubs")
+            arcs = self.arcs.select(F.col("src").alias("node"), F.col("dst").alias("__to"))
+            # at most one hub for HUB_ARCS arcs
+            arcs = arcs.join(F.broadcast(hubs), "node", "left").withColumn("__salt", F.pmod(F.xxhash64("__to"), F.coalesce("__salts", F.lit(1))).cast("int"))
+            arcs = arcs.drop("__salts").join(degree.withColumnRenamed("node", "__to"), "__to", "left").withColumn("__degree", F.coalesce("__degree", F.lit(0)))
+            self._spread = settled(arcs.select("node", "__salt", "__to", "__degree"), "arcs"), hubs
+        return self._spread
+
+
 def levels(arrays: tuple, sources: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(distance, bits of the nodes reached there): a row of words for each node, a bit for each source."""
     ids, src, first, targets, _ = arrays
@@ -67,7 +87,8 @@ def levels(arrays: tuple, sources: np.ndarray) -> Iterator[tuple[int, np.ndarray
         yield dist, now
         after = np.zeros_like(now)
         if len(first):
-            after[targets] = np.bitwise_or.reduceat(now[src], first, axis=0)
+            for w in range(words):  # a word at a time is contiguous
+                after[targets, w] = np.bitwise_or.reduceat(now[:, w][src], first)
         after &= ~seen
         if not after.any():
             return
@@ -94,11 +115,88 @@ def _kernel(graph: Graph, sources: DataFrame, run: Callable, schema: str) -> Dat
                 for columns in run(arrays.value, part.column(0).to_numpy(), weight):
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    parts = graph.spark.sparkContext.defaultParallelism * 4
+    parts = max(graph.spark.sparkContext.defaultParallelism, -(-graph.node_count() // (56 * WORDS)))
     spread = sources.select(F.col("id").cast("bigint"), *([F.col("weight").cast("double")] if weighted else [])).repartition(parts, "id")
     return spread.mapInArrow(over, schema)
 
 
+def tallies(bits: np.ndarray, count: int, degree: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each source how many nodes have its bit, and the sum of their degrees."""
+    total = np.zeros((2, count))
+    some = np.flatnonzero(bits.any(1))
+    for at in range(0, len(some), 4096):
+        rows = some[at : at + 4096]
+        total += np.vstack([np.ones(len(rows)), degree[rows]]) @ unpacked(bits[rows], count).astype(np.float64)
+    return total[0].astype(np.int64), total[1].astype(np.int64)
+
+
+def swept(graph: Graph, sources: DataFrame) -> Iterator[tuple[np.ndarray, int, DataFrame]]:
+    """(ids of a sweep's sources, distance, nodes reached there) for a distributed graph. Rows: node, degree, f0, f1, ... (the sources' bits).
+
+    A level's rows are read before the next one is asked for; then they are deleted.
+    """
+    arcs, hubs = graph.spread()
+    words = range(SWEEP_WORDS)
+    placed = numbered(sources.select(F.col("id").cast("bigint").alias("id")).distinct(), ["id"], "__n")
+    placed = settled(placed.withColumn("__sweep", F.floor(F.col("__n") / SWEEP)), "sources")
+    degree = graph.arcs.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
+    for sweep in range(-(-placed.count() // SWEEP)):
+        own = placed.filter(F.col("__sweep") == sweep).select("id", F.pmod("__n", F.lit(SWEEP)).cast("int").alias("__k"))
+        ids = np.array([r[0] for r in own.orderBy("__k").collect()], np.int64)  # SWEEP at most
+        bit = [F.when(F.floor(F.col("__k") / 64) == w, F.expr("shiftleft(1L, __k % 64)")).otherwise(F.lit(0).cast("long")) for w in words]
+        start = own.select(F.col("id").alias("node"), *[bit[w].alias(f"f{w}") for w in words]).join(degree, "node", "left")
+        state = settled(start.select("node", F.coalesce("degree", F.lit(0)).alias("degree"), *[f"f{w}" for w in words], *[F.col(f"f{w}").alias(f"s{w}") for w in words]), "state")
+        dist = 0
+        while True:
+            front = state.filter(" or ".join(f"f{w} <> 0" for w in words))
+            if front.isEmpty():
+                break
+            yield ids, dist, front.select("node", "degree", *[f"f{w}" for w in words])
+            sent = front.select("node", *[f"f{w}" for w in words]).join(F.broadcast(hubs), "node", "left")
+            sent = sent.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
+            to = sent.join(arcs, ["node", "__salt"]).groupBy(F.col("__to").alias("node"))
+            reached = to.agg(F.first("__degree").alias("__d"), *[F.expr(f"bit_or(f{w})").alias(f"r{w}") for w in words])
+            both = state.select("node", "degree", *[f"s{w}" for w in words]).join(reached, "node", "full")
+            seen = {w: F.coalesce(f"s{w}", F.lit(0).cast("long")) for w in words}
+            new = {w: F.coalesce(f"r{w}", F.lit(0).cast("long")).bitwiseAND(F.bitwise_not(seen[w])) for w in words}
+            after = both.select("node", F.coalesce("degree", "__d").alias("degree"), *[new[w].alias(f"f{w}") for w in words], *[seen[w].bitwiseOR(new[w]).alias(f"s{w}") for w in words])
+            after, dist = settled(after, "state"), dist + 1
+            discard(state)
+            state = after
+        discard(state)
+    discard(placed)
+
+
+def words_of(batch: pa.RecordBatch) -> np.ndarray:
+    """The bits of a swept batch, a row of words for each node."""
+    return np.ascontiguousarray(np.stack([c.to_numpy() for c in batch.columns[2:]], 1)).view(np.uint64)
+
+
+def folded(graph: Graph, sources: DataFrame, fold: Callable, schema: str, total: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """total over the rows that fold(ids, dist, batch) makes of each swept batch; each level's rows are written as they are found."""
+    names, out = [x.strip().split(" ")[0] for x in schema.split(",")], []
+    for ids, dist, front in swept(graph, sources):
+
+        def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, dist: int = dist) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in fold(ids, dist, batch)], names=names)
+
+        out.append(settled(total(front.mapInArrow(run, schema)), "folded"))
+        if len(out) >= 64:  # few enough to be read together
+            out = [_united(out, total)]
+    return _united(out, total) if out else total(graph.spark.createDataFrame([], schema))
+
+
+def _united(parts: list[DataFrame], total: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.union(part)
+    out = settled(total(whole), "folded")
+    for part in parts:
+        discard(part)
+    return out
+
+
 def pairs(graph: Graph, sources: DataFrame | None = None) -> DataFrame:
     """source, node, dist for every reached node, each source at 0 of itself. As many rows as pairs: for small graphs and few sources."""
     sources = graph.vertices if sources is None else sources
@@ -115,61 +213,89 @@ def pairs(graph: Graph, sources: DataFrame | None = None) -> DataFrame:
 
 
 def frontier_pairs(graph: Graph, sources: DataFrame) -> DataFrame:
-    """The same by joining the frontier with the arcs until it is empty. Each level is written to the shared folder."""
-    now = settled(sources.select(F.col("id").cast("bigint").alias("source"), F.col("id").cast("bigint").alias("node"), F.lit(0).alias("dist")).distinct(), "level")
-    seen, dist = [now], 0
-    arcs = graph.arcs.select(F.col("src").alias("node"), F.col("dst").alias("__to"))
-    while True:
-        dist += 1
-        reached = now.join(arcs, "node").select("source", F.col("__to").alias("node")).distinct()
-        # in a symmetric graph the last two levels would do; a directed one needs all
-        known = seen[0].select("source", "node")
-        for level in seen[1:]:
-            known = known.union(level.select("source", "node"))
-        now = settled(reached.join(known, ["source", "node"], "left_anti").withColumn("dist", F.lit(dist)), "level")
-        if now.isEmpty():
-            discard(now)
-            break
-        seen.append(now)
-    out = seen[0]
-    for level in seen[1:]:
-        out = out.union(level)
-    return out
+    """The same for a distributed graph."""
+
+    def fold(ids, dist, batch):
+        node, source = np.nonzero(unpacked(words_of(batch), len(ids)))
+        return ids[source], batch.column(0).to_numpy()[node], np.full(len(node), dist, np.int32)
+
+    return folded(graph, sources, fold, "source long, node long, dist int", lambda rows: rows)
+
+
+def _levels_of(graph: Graph, sources: DataFrame) -> DataFrame:
+    """The histogram of a distributed graph: partial counts of each batch, summed."""
+
+    def fold(ids, dist, batch):
+        count, arcs = tallies(words_of(batch), len(ids), batch.column(1).to_numpy())
+        some = np.flatnonzero(count)
+        return ids[some], np.full(len(some), dist, np.int32), count[some], arcs[some]
+
+    total = lambda rows: rows.groupBy("source", "dist").agg(F.sum("cnt").alias("cnt"), F.sum("arcs").alias("arcs"))
+    return folded(graph, sources, fold, "source long, dist int, cnt long, arcs long", total)
 
 
 def histogram(graph: Graph, sources: DataFrame | None = None) -> DataFrame:
     """source, dist, cnt and arcs (out-arcs of the nodes there): all that the measures need."""
     sources = graph.vertices if sources is None else sources
     if graph.arrays() is None:
-        degree = graph.arcs.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("__degree"))
-        reached = frontier_pairs(graph, sources).join(degree, "node", "left")
-        return reached.groupBy("source", "dist").agg(F.count("*").alias("cnt"), F.coalesce(F.sum("__degree"), F.lit(0)).alias("arcs"))
+        return _levels_of(graph, sources)
 
     def run(arrays, block, _):
-        degree = arrays[4]
         for dist, bits in levels(arrays, block):
-            node, source = np.nonzero(unpacked(bits, len(block)))
-            count = np.bincount(source, minlength=len(block))
-            arcs = np.bincount(source, degree[node], minlength=len(block)).astype(np.int64)
+            count, arcs = tallies(bits, len(block), arrays[4])
             some = np.flatnonzero(count)
-            yield block[some], np.full(len(some), dist, np.int32), count[some].astype(np.int64), arcs[some]
+            yield block[some], np.full(len(some), dist, np.int32), count[some], arcs[some]
 
     return _kernel(graph, sources.select("id"), run, "source long, dist int, cnt long, arcs long")
 
 
-def distance_sums(graph: Graph, sources: DataFrame) -> DataFrame:
-    """node and total, the weighted sum of its distances from sources (id, weight). Nodes that no source reaches have no row."""
+def sums_and_farness(graph: Graph, sources: DataFrame) -> DataFrame:
+    """One search from each of sources (id, weight) for both of: rows with far false, node and value, the weighted sum of its distances from
+    the sources (no row where none reaches it); rows with far true, a source and its farness."""
+    schema = "far boolean, node long, value double"
+    total = lambda rows: rows.groupBy("far", "node").agg(F.sum("value").alias("value"))
     if graph.arrays() is None:
-        reached = frontier_pairs(graph, sources.select("id")).join(sources.select(F.col("id").alias("source"), "weight"), "source")
-        return reached.groupBy("node").agg(F.sum(F.col("dist") * F.col("weight")).alias("total"))
+        # a sweep's weights go along with its sources, SWEEP at most
+        weights = dict(sources.select("id", "weight").toArrow().to_pandas().itertuples(index=False)) if sources.count() <= SWEEP else None
+        if weights is None:
+            return _far_and_sums_by_join(graph, sources)
+
+        def fold(ids, dist, batch):
+            bits, nodes = unpacked(words_of(batch), len(ids)), batch.column(0).to_numpy()
+            sums = dist * (bits @ np.array([weights[i] for i in ids.tolist()]))
+            return np.repeat([False, True], [len(nodes), len(ids)]), np.concatenate([nodes, ids]), np.concatenate([sums, dist * bits.sum(0, dtype=np.float64)])
+
+        return folded(graph, sources, fold, schema, total)
 
     def run(arrays, block, weight):
         ids = arrays[0]
-        total, hit = np.zeros(len(ids)), np.zeros(len(ids), bool)
+        sums, hit, far = np.zeros(len(ids)), np.zeros(len(ids), bool), np.zeros(len(block))
         for dist, bits in levels(arrays, block):
-            total += dist * (unpacked(bits, len(block)) @ weight)
-            hit |= bits.any(1)
-        yield ids[hit], total[hit]
+            some = np.flatnonzero(bits.any(1))
+            hit[some] = True
+            for at in range(0, len(some), 4096):
+                rows = some[at : at + 4096]
+                own = unpacked(bits[rows], len(block)).astype(np.float64)
+                sums[rows] += dist * (own @ weight)
+                far += dist * own.sum(0)
+        yield np.zeros(int(hit.sum()), bool), ids[hit], sums[hit]
+        yield np.ones(len(block), bool), block, far
+
+    return total(_kernel(graph, sources.select("id", "weight"), run, schema))
+
+
+def _far_and_sums_by_join(graph: Graph, sources: DataFrame) -> DataFrame:
+    """The same sweep by sweep, with each sweep's weights."""
+    total = lambda rows: rows.groupBy("far", "node").agg(F.sum("value").alias("value"))
+    placed = settled(numbered(sources.select("id", "weight"), ["id"], "__n"), "sources")
+    parts = []
+    for k in range(-(-placed.count() // SWEEP)):
+        parts.append(settled(sums_and_farness(graph, placed.filter(F.floor(F.col("__n") / SWEEP) == k).select("id", "weight")), "folded"))
+        if len(parts) >= 64:
+            parts = [_united(parts, total)]
+    return _united(parts, total)
+
 
-    partial = _kernel(graph, sources.select("id", "weight"), run, "node long, total double")
-    return partial.groupBy("node").agg(F.sum("total").alias("total"))
+def distance_sums(graph: Graph, sources: DataFrame) -> DataFrame:
+    """node and total, the weighted sum of its distances from sources (id, weight). Nodes that no source reaches have no row."""
+    return sums_and_farness(graph, sources).filter("not far").select("node", F.col("value").alias("total"))

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.functions.measures import inverse
-from wayfare.operators.traversal import Graph, distance_sums, histogram, pairs
-from wayfare.sources.shared import settled
+from wayfare.operators.traversal import Graph, histogram, pairs, sums_and_farness
+from wayfare.sources.shared import discard, settled
 
 EPS = 0.1
 
@@ -36,17 +36,20 @@ def draw(node: Column, seed: int) -> Column:
 
 @dataclass
 class Estimate:
-    """weights (node, weight, p); sample (node, p); farness (node, estimate, exact); first and sampled, the numbers of searches."""
+    """weights (node, weight, p); first (id); sample (node, p); farness (node, estimate, exact); known (node, farness) of the nodes searched
+    for the estimate; firsts and sampled, the numbers of searches."""
 
     weights: DataFrame
+    first: DataFrame
     sample: DataFrame
     farness: DataFrame
-    first: int
+    known: DataFrame
+    firsts: int
     sampled: int
 
     @property
     def searches(self) -> int:
-        return self.first + self.sampled
+        return self.firsts + self.sampled
 
 
 def first_sources(graph: Graph, u: Column) -> DataFrame:
@@ -55,30 +58,36 @@ def first_sources(graph: Graph, u: Column) -> DataFrame:
     return nodes.orderBy(u, "node").limit(first_count(graph.node_count())).select(F.col("node").alias("id"))
 
 
-def weights(graph: Graph, first: DataFrame, eps: float = EPS) -> DataFrame:
-    """node, weight and p."""
+def weights(graph: Graph, reached: DataFrame, eps: float = EPS) -> DataFrame:
+    """node, weight and p, given the pairs (source, node, dist) of the first sources."""
     n = graph.node_count()
     k = coefficient(n, eps)
-    reached = pairs(graph, first)
     total = reached.groupBy("source").agg(F.sum("dist").alias("__total")).filter("__total > 0")
-    share = reached.join(total, "source").groupBy("node").agg(F.max(F.col("dist") / F.col("__total")).alias("__share"))
+    # a row for each first source, some log2 n
+    share = reached.join(F.broadcast(total), "source").groupBy("node").agg(F.max(F.col("dist") / F.col("__total")).alias("__share"))
     nodes = graph.vertices.select(F.col("id").alias("node")).join(share, "node", "left")
     weight = F.greatest(F.lit(1.0 / max(1, n)), F.coalesce("__share", F.lit(0.0)))
     return nodes.select("node", weight.alias("weight")).withColumn("p", F.least(F.lit(1.0), F.lit(float(k)) * F.col("weight")))
 
 
 def estimate(graph: Graph, seed: int = 1, eps: float = EPS, first_u: Column | None = None, sample_u: Column | None = None) -> Estimate:
-    """Estimates for one seed; the draws may be given as expressions over the column node."""
+    """Estimates for one seed; the draws may be given as expressions over the column node. The searches made also tell the searched nodes' own farness."""
     node = F.col("node")
     first = settled(first_sources(graph, draw(node, seed) if first_u is None else first_u), "first")
-    weighted = settled(weights(graph, first, eps), "weights")
+    reached = settled(pairs(graph, first), "reached")
+    weighted = settled(weights(graph, reached, eps), "weights")
     u = draw(node, seed + 1) if sample_u is None else sample_u
     sample = settled(weighted.filter(u < F.col("p")).select("node", "p"), "sample")
-    sums = distance_sums(graph, sample.select(F.col("node").alias("id"), (F.lit(1.0) / F.col("p")).alias("weight")))
-    known = first.select(F.col("id").alias("node")).union(sample.select("node")).distinct().withColumn("__known", F.lit(True))
+    found = settled(sums_and_farness(graph, sample.select(F.col("node").alias("id"), (F.lit(1.0) / F.col("p")).alias("weight"))), "sums")
+    sums = found.filter("not far").select("node", F.col("value").alias("total"))
+    own = reached.groupBy(F.col("source").alias("node")).agg(F.sum("dist").cast("bigint").alias("farness"))
+    known = settled(own.union(found.filter("far").select("node", F.col("value").cast("bigint"))).groupBy("node").agg(F.max("farness").alias("farness")), "known")
+    discard(reached)
     nodes = graph.vertices.select(F.col("id").alias("node"))
-    far = nodes.join(sums, "node", "left").join(known, "node", "left").select("node", F.coalesce("total", F.lit(0.0)).alias("estimate"), F.coalesce("__known", F.lit(False)).alias("exact"))
-    return Estimate(weighted, sample, settled(far, "estimate"), first.count(), sample.count())
+    far = nodes.join(sums, "node", "left").join(known.select("node", F.lit(True).alias("__known")), "node", "left")
+    far = settled(far.select("node", F.coalesce("total", F.lit(0.0)).alias("estimate"), F.coalesce("__known", F.lit(False)).alias("exact")), "estimate")
+    discard(found)
+    return Estimate(weighted, first, sample, far, known, first.count(), sample.count())
 
 
 def estimate_errors(graph: Graph, made: Estimate) -> DataFrame:
