@@ -9,7 +9,8 @@ bisection and reads one block. Ids take 2 bytes each where all of them fit, else
     footer  FOOTER, see below
 
 The key of doc_id is a byte (0: null, 1: not) and 8 bytes that sort as the number does, so null comes first. Rows that
-share a doc_id are all kept, ordered by text. An empty or null text is the end id alone. An empty table makes no shard.
+share a doc_id are all kept, ordered by a hash of their texts; they may span shards, which are ranges of doc_id, hash and row
+number sized by the texts' bytes. An empty or null text is the end id alone. An empty table makes no shard.
 Shards are written under another name and then renamed, so that a repeated task leaves whole files only.
 """
 
@@ -17,7 +18,6 @@ from __future__ import annotations
 
 import bisect
 import hashlib
-import math
 import struct
 import uuid
 import zlib
@@ -34,7 +34,11 @@ from .pieces import LibraryEncoder, four_bytes, once
 
 END_ID = 2
 BLOCK_BYTES = 64 << 10
-SHARD_ROWS = 5000
+#: Bytes of text for a shard at most, and at least where more shards than four for each core would hold less.
+MOST_BYTES, LEAST_BYTES = 256 << 20, 8 << 20
+#: Keys of one look-up, and shards whose offsets are summed in one task.
+LOOKUP_KEYS = 100_000
+SUMMED = 4096
 BITS_PER_KEY, PROBES = 10, 7
 MAGIC = b"WFSST\x00\x00\x01"
 #: ids' width, documents, ids, places and sizes of index and filter, the index's crc32
@@ -203,8 +207,13 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def write_shards(docs: DataFrame, vocabulary: str, directory: str, end_id: int = END_ID, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Write documents' ids to shards in directory, which all executors share. Returns shard, path, n_docs, n_ids and start (ids of earlier shards)."""
+def shard_count(size: int, cores: int) -> int:
+    """How many shards hold so many bytes of text."""
+    return max(1, -(-size // MOST_BYTES), min(-(-size // LEAST_BYTES), 4 * cores))
+
+
+def write_shards(docs: DataFrame, vocabulary: str, directory: str, end_id: int = END_ID, shards: int | None = None) -> DataFrame:
+    """Write documents' ids to shards in directory, which all executors share. Returns shard, path, first and last (keys), n_docs, n_ids and start (ids of earlier shards)."""
     spark = docs.sparkSession
     import json
 
@@ -213,15 +222,19 @@ def write_shards(docs: DataFrame, vocabulary: str, directory: str, end_id: int =
     largest = max(max(spec["model"]["vocab"].values()), max((t["id"] for t in spec["added_tokens"]), default=0), end_id)
     width, blob = 2 if largest < 1 << 16 else 4, spark.sparkContext.broadcast(text)
     rows = docs.select("doc_id", text_or_empty().alias("text"))
-    shards = max(1, math.ceil(rows.count() / shard_rows))
-    ordered = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    if shards is None:
+        size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+        shards = shard_count(size, spark.sparkContext.defaultParallelism)
+    order = [F.col("doc_id").asc_nulls_first(), F.col("__hash"), F.col("__row")]
+    keyed = rows.select("doc_id", "text", F.xxhash64("text").alias("__hash"), F.monotonically_increasing_id().alias("__row"))
+    ordered = keyed.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import gc
 
         gc.disable()  # what the encoder remembers holds no cycles
         coder, writer, end = once(LibraryEncoder, blob.value), None, four_bytes([end_id])
-        shard = TaskContext.get().partitionId()
+        shard, first = TaskContext.get().partitionId(), b""
         system, base = file_system(directory)
         final, part = f"{base}/shard-{shard:06d}.sst", f"{base}/.part-{shard:06d}-{uuid.uuid4().hex}"
         for batch in batches:
@@ -230,17 +243,24 @@ def write_shards(docs: DataFrame, vocabulary: str, directory: str, end_id: int =
                 if writer is None:
                     system.create_dir(base, recursive=True)
                     stream = system.open_output_stream(part)
-                    writer = Writer(stream, width)
+                    writer, first = Writer(stream, width), key_of(doc_id)
                 writer.add(key_of(doc_id), own + end)
         if writer is not None:
             writer.close()
             stream.close()
             system.move(part, final)
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [final], "n_docs": [writer.docs], "n_ids": [writer.ids]})
+            columns = {"shard": pa.array([shard], pa.int32()), "path": [final], "first": [first], "last": [writer.before], "n_docs": [writer.docs], "n_ids": [writer.ids]}
+            yield pa.RecordBatch.from_pydict(columns)
 
-    made = settled(ordered.mapInArrow(write, "shard int, path string, n_docs long, n_ids long"), "shards")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
-    return made.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    made = settled(ordered.mapInArrow(write, "shard int, path string, first binary, last binary, n_docs long, n_ids long"), "shards")
+    # offsets of groups of shards, then of the shards in each
+    group = F.floor(F.col("shard") / SUMMED)
+    sums = made.groupBy(group.alias("__group")).agg(F.sum("n_ids").alias("__ids"))
+    earlier = Window.orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)  # a row for each SUMMED shards
+    sums = sums.select("__group", F.coalesce(F.sum("__ids").over(earlier), F.lit(0)).alias("__base"))
+    before = Window.partitionBy("__group").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    placed = made.withColumn("__group", group).withColumn("__own", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    return placed.join(F.broadcast(sums), "__group").select(*made.columns, (F.col("__base") + F.col("__own")).alias("start"))
 
 
 def read_shards(manifest: DataFrame, directory: str) -> DataFrame:
@@ -249,19 +269,52 @@ def read_shards(manifest: DataFrame, directory: str) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, _ = file_system(directory)
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows: list[tuple] = []
                 with system.open_input_file(path) as f:
                     for key, start, ids in Reader(f).scan():
                         rows.append((id_of(key), base + start, len(ids) // 4, zlib.crc32(ids)))
-                for at in range(0, len(rows), 10_000):
-                    columns = zip(*rows[at : at + 10_000])
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                        if len(rows) == 10_000:
+                            yield out(rows)
+                            rows = []
+                if rows:
+                    yield out(rows)
 
     return manifest.select("path", "start").repartition(min(count, 10_000)).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def looked_up(manifest: DataFrame, directory: str, doc_ids: list[int | None]) -> DataFrame:
+    """doc_id, start and ids (little-endian, 32 bits each) of every row with one of these doc_ids, LOOKUP_KEYS of them at most.
+
+    A shard is opened only if one of them lies between its first and last key; there its filter, its index and single blocks are read.
+    """
+    keys = sorted({key_of(i) for i in doc_ids})
+    if len(keys) > LOOKUP_KEYS:
+        raise ValueError(f"at most {LOOKUP_KEYS} keys are looked up at once; read_shards reads all")
+    wanted = manifest.sparkSession.sparkContext.broadcast(keys)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = file_system(directory)
+        for batch in batches:
+            for path, first, last, base in zip(*(c.to_pylist() for c in batch.columns)):
+                own = wanted.value[bisect.bisect_left(wanted.value, first) : bisect.bisect_right(wanted.value, last)]
+                if not own:
+                    continue
+                with system.open_input_file(path) as f:
+                    reader = Reader(f)
+                    for key in own:
+                        if rows := reader.get(key):
+                            starts, ids = zip(*rows)
+                            yield pa.RecordBatch.from_arrays([pa.array([id_of(key)] * len(rows), pa.int64()), pa.array([base + s for s in starts], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "start", "ids"])
+
+    return manifest.select("path", "first", "last", "start").repartition(min(max(1, manifest.count()), 10_000)).mapInArrow(find, "doc_id long, start long, ids binary")
+
+
 def op7_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     directory = new_dir(spark, "sstable")
     manifest = write_shards(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"), directory)
