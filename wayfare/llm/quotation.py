@@ -9,8 +9,8 @@ the attribution lines before them.
 
 Null or empty texts stay as they are and link to nothing; rows without conv_id or turn link to nothing. Repeated rows are kept each;
 a turn that several rows share answers the latest turn that any of them answers. place counts from 0 in each conversation
-by thread and turn; rows alike in both are ordered by role and text. A place's count is taken in ranges of turns, so that a
-long conversation isn't ordered in one task.
+by thread and turn; rows alike in both are ordered by role and the text's md5. Places are taken in ranges of all rows and sources
+are looked for in ranges of turns, so that neither a long conversation nor a passage that comes again and again in it is one task's.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wayfare.functions.arcs import numbered_within
+
 from .common import discard, settled, table
 
 TURNS = 4096
@@ -59,17 +61,30 @@ def unquoted(messages: DataFrame) -> DataFrame:
     return out.withColumn("text", F.when(has, body).otherwise(F.col("text"))).drop("lines")
 
 
+def latest_sources(quotes: DataFrame, sources: DataFrame, turns: int = TURNS) -> DataFrame:
+    """conv_id, digest, turn and __from for each place (conv_id, digest, turn) of a quotation: the latest earlier turn with such a passage, if any.
+
+    Both sides pass once in order of turns, in ranges of turns; a range begins with the latest source of those before it.
+    """
+    both = quotes.select("conv_id", "digest", "turn", F.lit(0).alias("__kind")).union(sources.select("conv_id", "digest", "turn", F.lit(1))).distinct()
+    both = both.withColumn("__range", F.floor(F.col("turn") / turns)).withColumn("__at", F.when(F.col("__kind") == 1, F.col("turn")))
+    tops = both.groupBy("conv_id", "digest", "__range").agg(F.max("__at").alias("__top"))
+    earlier = Window.partitionBy("conv_id", "digest").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of turns
+    tops = tops.withColumn("__before", F.max("__top").over(earlier)).drop("__top")
+    so_far = Window.partitionBy("conv_id", "digest", "__range").orderBy("turn", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = both.withColumn("__own", F.last("__at", True).over(so_far)).filter("__kind = 0")
+    return own.join(tops, ["conv_id", "digest", "__range"]).select("conv_id", "digest", "turn", F.coalesce("__own", "__before").alias("__from"))
+
+
 def replies(messages: DataFrame) -> DataFrame:
     """For messages that quote: __id, conv_id, turn, n_quotes, n_linked, reply_to. messages has a unique column __id."""
     quoting = messages.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull() & F.col("text").rlike("(?m)" + QUOTE))
-    quotes = passages(quoting.select("__id", "conv_id", "turn", "text")).filter("level > 0")
+    quotes = passages(quoting.select("__id", "conv_id", "turn", "text")).filter("level > 0").select("__id", "conv_id", "turn", "level", "digest").distinct()
     talks = quoting.select("conv_id").distinct()
     own = messages.filter(F.col("turn").isNotNull()).join(talks, "conv_id", "left_semi")
-    sources = passages(own.select("__id", "conv_id", "turn", "text")).filter("level = 0").select("conv_id", "digest", F.col("turn").alias("__from")).distinct()
-    found = quotes.join(sources, ["conv_id", "digest"], "left")
-    earlier = F.when(F.col("__from") < F.col("turn"), F.col("__from"))
+    sources = passages(own.select("__id", "conv_id", "turn", "text")).filter("level = 0").select("conv_id", "digest", "turn").distinct()
     # the latest source of each quotation; of a message's linked quotations, one of the lowest level and there the latest source
-    latest = found.groupBy("__id", "conv_id", "turn", "level", "digest").agg(F.max(earlier).alias("__from"))
+    latest = quotes.join(latest_sources(quotes, sources), ["conv_id", "digest", "turn"])
     return latest.groupBy("__id", "conv_id", "turn").agg(
         F.count("*").alias("n_quotes"),
         F.count("__from").alias("n_linked"),
@@ -86,31 +101,24 @@ def threads(answers: DataFrame) -> DataFrame:
         discard(at)
         at = moved
         if at.filter("__moved").isEmpty():
-            return at.drop("__moved")
+            out = at.drop("__moved")
+            out.settled_path = at.settled_path
+            return out
 
 
 def reply_ordered(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, text (without quotations), n_quotes, n_linked, reply_to, thread and place of each message."""
-    messages = messages.select("conv_id", "turn", "role", "text")
-    numbered = messages.withColumn("__id", F.monotonically_increasing_id())
-    if messages.filter(F.col("text").rlike("(?m)" + QUOTE)).isEmpty():
-        none = F.lit(None).cast("long")
-        linked = unquoted(numbered).withColumns({"n_quotes": F.lit(0).cast("long"), "n_linked": F.lit(0).cast("long"), "reply_to": none, "thread": F.col("turn")})
-    else:
-        numbered = settled(numbered, "messages")
-        answers = settled(replies(numbered), "replies")
-        roots = threads(answers.filter("reply_to is not null"))
-        linked = unquoted(numbered).join(answers.drop("conv_id", "turn"), "__id", "left").join(roots, ["conv_id", "turn"], "left")
-        zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_quotes", "n_linked")}
-        linked = linked.withColumns(zero | {"thread": F.coalesce("thread", "turn")})
-    ranged = linked.withColumn("__range", F.floor(F.col("thread") / TURNS))
-    counts = ranged.groupBy(F.col("conv_id").alias("__c"), F.col("__range").alias("__r")).count()
-    before = Window.partitionBy("__c").orderBy(F.col("__r").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select("__c", "__r", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__first"))
-    order = [F.col(c).asc_nulls_first() for c in ("thread", "turn", "role", "text")]
-    ranged = ranged.withColumn("__own", F.row_number().over(Window.partitionBy("conv_id", "__range").orderBy(*order)) - 1)
-    placed = ranged.join(firsts, F.col("conv_id").eqNullSafe(F.col("__c")) & F.col("__range").eqNullSafe(F.col("__r")))
-    return placed.select("conv_id", "turn", "role", "text", "n_quotes", "n_linked", "reply_to", "thread", (F.col("__first") + F.col("__own")).alias("place"))
+    numbered = settled(messages.select("conv_id", "turn", "role", "text", F.monotonically_increasing_id().alias("__id")), "messages")
+    answers = settled(replies(numbered), "replies")
+    roots = threads(answers.filter("reply_to is not null"))
+    linked = unquoted(numbered).join(answers.drop("conv_id", "turn"), "__id", "left").join(roots, ["conv_id", "turn"], "left")
+    zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_quotes", "n_linked")}
+    linked = settled(linked.withColumns(zero | {"thread": F.coalesce("thread", "turn"), "__text": F.md5("text")}), "linked")
+    order = [F.col(c).asc_nulls_first() for c in ("thread", "turn", "role", "__text", "__id")]
+    placed = numbered_within(linked, "conv_id", order, "place")
+    for done in (numbered, answers, roots):
+        discard(done)
+    return placed.select("conv_id", "turn", "role", "text", "n_quotes", "n_linked", "reply_to", "thread", "place")
 
 
 def chat_texts(ordered: DataFrame, turns: int = 256) -> DataFrame:
@@ -124,6 +132,16 @@ def op10_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reply_ordered(table(spark, sf_dir, "conversations"))
 
 
+#: Conversations in which each message quotes one of the two before it, if there is one; both engines run this text.
+QUOTING = """SELECT m.conv_id, m.turn, m.role, CASE WHEN p.text IS NULL THEN m.text ELSE concat('> ', replace(p.text, chr(10), concat(chr(10), '> ')), chr(10), chr(10), coalesce(m.text, '')) END AS text
+FROM {messages} m LEFT JOIN {messages} p ON p.conv_id = m.conv_id AND p.turn = m.turn - 1 - (m.conv_id + m.turn) % 2"""
+
+
+def quoted_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """reply_ordered over the whole table, with quotations put in, as the table itself holds none."""
+    return reply_ordered(spark.sql(QUOTING, messages=table(spark, sf_dir, "conversations")))
+
+
 #: DuckDB SQL for op10_quotation over conversations. md5 stands for the hash of passages.
 OP10_SQL = r"""
 WITH RECURSIVE m AS (SELECT row_number() OVER () AS id, conv_id, turn, role, text FROM conversations),
@@ -149,5 +167,6 @@ u AS (SELECT id, bool_or(level > 0) AS quotes,
 x AS (SELECT m.conv_id, m.turn, m.role, CASE WHEN quotes THEN coalesce(body, '') ELSE text END AS text, coalesce(n_quotes, 0)::BIGINT AS n_quotes,
         coalesce(n_linked, 0)::BIGINT AS n_linked, reply_to, coalesce(t.thread, m.turn) AS thread
       FROM m LEFT JOIN u USING (id) LEFT JOIN a USING (id) LEFT JOIN t ON t.conv_id = m.conv_id AND t.turn = m.turn)
-SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY thread NULLS FIRST, turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS place FROM x
+SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY thread NULLS FIRST, turn NULLS FIRST, role NULLS FIRST, md5(text) NULLS FIRST) - 1 AS place FROM x
 """
+QUOTED_SQL = OP10_SQL.replace("WITH RECURSIVE m AS", f"WITH RECURSIVE quoting AS ({QUOTING.format(messages='conversations')}), m AS").replace("text FROM conversations)", "text FROM quoting)")
