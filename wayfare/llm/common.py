@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wayfare.sources.shared import discard, new_dir, settled, shared_dir
 
-__all__ = ["discard", "new_dir", "read_vocabulary", "settled", "shared_dir", "table", "text_or_empty", "vocabulary_path"]
+__all__ = ["discard", "new_dir", "read_vocabulary", "settled", "shared_dir", "table", "text_or_empty", "vocabulary_path", "whole"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def whole(docs: DataFrame) -> Column:
+    """A row of docs as one column, apart from what an operator adds, whatever the columns' names."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+
+
 def vocabulary_path(name: str) -> str:
     """Where the installed public vocabulary of this name lies."""
     import public_tokenizers

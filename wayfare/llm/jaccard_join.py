@@ -1,17 +1,17 @@
 """Near-duplicate join on word shingles: banded MinHash candidates, Bayesian pruning, exact verification.
 
-Texts become sets of hashed runs of five words (words as split at white space, lower case; a text of one to four words is one
+Texts become sets of hashed runs of five words (words as split at Unicode white space, lower case; a text of one to four words is one
 run, one without words the empty set). Equal sets are copies of one representative. Representatives meet in buckets of
 BANDS keys of ROWS MinHash values; of the pairs at similarity 0.8 one in two million never meets. Inside a bucket pairs are
 compared step by step on a byte of each MinHash; a pair goes as soon as the posterior probability of a similarity of
 0.8 or more, from a uniform prior, is below TOLERANCE. What stays joins representatives to parts; only edges that span the parts of a
-bucket are written, not pairs. Inside each part all pairs are then verified exactly on whole sets, in blocks, and the exact links
-are counted and spanned again. The answer is one row per document: its class (the least doc_id joined to it by a chain of links,
+bucket are written, not pairs. Inside each part the pairs that met and stayed, and no others, are verified exactly on whole sets, in
+blocks, and the exact links are counted and spanned again. The answer is one row per document: its class (the least doc_id joined to it by a chain of links,
 itself included), its representative's doc_id and its number of links: other documents, copies included, of similarity 0.8 or more.
 
-Buckets of more than BLOCK members and parts of more than PART_BLOCK are cut into blocks that meet two by two, so that no bucket or part is one task's.
-Texts without words are copies of each other. A null text has no words. Rows that share a doc_id count as documents each; null
-doc_ids stand after all others for representatives and classes.
+Buckets of more than BLOCK members and parts of more than PART_BLOCK members or PART_BYTES are cut into blocks that meet two by two, so
+that no bucket or part is one task's. Long sets come in rows of CHUNK values. Texts without words are copies of each other. A null
+text has no words. Rows that share a doc_id count as documents each; null doc_ids stand after all others for representatives and classes.
 """
 
 from __future__ import annotations
@@ -21,12 +21,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.operators.structure import spanned
 
-from .common import discard, settled, table, text_or_empty
+from .common import discard, settled, table, text_or_empty, whole
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 3
@@ -34,8 +34,12 @@ STEP = 10
 TOLERANCE = 1e-9
 #: Members of a bucket, and of a part, that one task compares with each other.
 BLOCK, PART_BLOCK = 1024, 1024
+#: Bytes of the sets of a block, and values of a set in one row.
+PART_BYTES = 16 << 20
+CHUNK = 1 << 13
 SEED = 7919
 HOT_KEYS = 100_000
+HELD_BYTES = 64 << 20
 #: Up to so many representatives (about 60 bytes each) that share a part go to the executors to pick their texts; beyond that both sides are shuffled.
 BROADCAST_ROWS = 400_000
 
@@ -121,14 +125,14 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, digest binary, size long, keys array<long>, matches binary")
 
 
-def with_blocks(rows: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
-    """rows with __blocks: into how many blocks the members of its key are cut, 1 for up to block of them. The list of large keys is broadcast if it is short, else joined."""
-    large = settled(rows.groupBy(key).count().filter(F.col("count") > block), "large")
+def with_blocks(rows: DataFrame, key: str, block: int = BLOCK, size: Column | None = None, most: int = 1) -> DataFrame:
+    """rows with __blocks: into how many blocks the members of its key are cut, 1 for up to block of them (and sizes of up to most together). The list of large keys is broadcast if it is short, else joined."""
+    needed = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.lit(0) if size is None else size) / most))
+    large = settled(rows.groupBy(key).agg(needed.cast("int").alias("__blocks")).filter("__blocks > 1"), "large")
     n = large.count()
     if not n:
         discard(large)
         return rows.withColumn("__blocks", F.lit(1))
-    large = large.select(key, F.ceil(F.col("count") / block).cast("int").alias("__blocks"))
     rows = rows.join(F.broadcast(large) if n <= HOT_KEYS else large, key, "left")
     return rows.withColumn("__blocks", F.coalesce("__blocks", F.lit(1)))
 
@@ -143,7 +147,7 @@ def in_block_pairs(rows: DataFrame, member: str) -> DataFrame:
 
 
 def by_group(run_group: Callable[[pa.Table], Iterator[pa.RecordBatch]], size: int) -> Callable:
-    """A function for mapInArrow over rows sorted by their first three columns: it hands on tables of whole groups, each of about size rows or one group."""
+    """A function for mapInArrow over rows sorted by their first three columns: it hands on tables of whole groups, each of about size rows, HELD_BYTES or one group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -153,7 +157,7 @@ def by_group(run_group: Callable[[pa.Table], Iterator[pa.RecordBatch]], size: in
                 continue
             held.append(batch)
             rows += batch.num_rows
-            if rows < size:
+            if rows < size and sum(b.nbytes for b in held) < HELD_BYTES:
                 continue
             whole = pa.Table.from_batches(held).combine_chunks()
             keys = [whole.column(k).to_numpy() for k in range(3)]
@@ -191,6 +195,24 @@ def connected(count: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np
     return label
 
 
+#: Compared values, and the fewest matches among them at which a pair stays.
+STEPS = [(at + STEP, least_matches(at + STEP)) for at in range(0, BANDS * ROWS, STEP)]
+
+
+def pruned(signed: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows of signed (a byte of each MinHash value) that stay, comparing a step of values at a time."""
+    same, at = np.zeros(len(a), np.int64), 0
+    for upto, least in STEPS:
+        same += (signed[a, at:upto] == signed[b, at:upto]).sum(1)
+        stay = same >= least
+        a, b, same, at = a[stay], b[stay], same[stay], upto
+    return a, b
+
+
+def signatures_of(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+
+
 def bucket_edges(whole: pa.Table) -> Iterator[pa.RecordBatch]:
     """Edges that span, inside each bucket, the pairs that pruning leaves. Columns: key, i, j, mine, rep, matches."""
     n = whole.num_rows
@@ -199,61 +221,76 @@ def bucket_edges(whole: pa.Table) -> Iterator[pa.RecordBatch]:
     end = np.repeat(starts + sizes, sizes)
     mine = whole.column(3).to_numpy()
     two = whole.column(1).to_numpy() != whole.column(2).to_numpy()
-    reps = whole.column(4).to_numpy()
-    bytes_ = np.frombuffer(b"".join(whole.column(5).to_pylist()), np.uint8).reshape(n, BANDS * ROWS)
-    need = [(at + STEP, least_matches(at + STEP)) for at in range(0, BANDS * ROWS, STEP)]
+    reps, signed = whole.column(4).to_numpy(), signatures_of(whole.column(5))
     label, place = np.arange(n), np.arange(n)
     left = place
     for shift in range(1, int(sizes.max())):
         left = a = left[left + shift < end[left]]
         b = a + shift
         a, b = (x[(label[a] != label[b]) & (~two[a] | (mine[a] != mine[b]))] for x in (a, b))
-        same, at = np.zeros(len(a), np.int64), 0
-        for upto, least in need:
-            same += (bytes_[a, at:upto] == bytes_[b, at:upto]).sum(1)
-            stay = same >= least
-            a, b, same, at = a[stay], b[stay], same[stay], upto
-        label = connected(n, a, b, label)
+        label = connected(n, *pruned(signed, a, b), label)
     moved = np.flatnonzero(label != place)
     yield pa.RecordBatch.from_arrays([pa.array(reps[moved]), pa.array(reps[label[moved]])], names=["a", "b"])
 
 
+def candidates(keys: np.ndarray, signed: np.ndarray, apart: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of members (the first one earlier) that share a band's key and stay when pruned; apart: the sides that must differ."""
+    n, met_a, met_b = len(keys), [], []
+    step = max(1, (1 << 22) // n)
+    for at in range(0, n, step):
+        met = np.zeros((min(step, n - at), n), bool)
+        for band in range(BANDS):
+            met |= keys[at : at + step, band, None] == keys[None, :, band]
+        a, b = np.nonzero(met)
+        keep = a + at < b
+        if apart is not None:
+            keep &= apart[a + at] != apart[b]
+        a, b = pruned(signed, a[keep] + at, b[keep])
+        met_a.append(a), met_b.append(b)
+    return np.concatenate(met_a), np.concatenate(met_b)
+
+
 def verified(whole: pa.Table) -> Iterator[pa.RecordBatch]:
-    """For each member its exact links in this block or pair of blocks, and edges that span them. Columns: part, i, j, mine, rep, copies, set."""
+    """For each member its exact links in this block or pair of blocks, and edges that span them. Columns: part, i, j, mine, rep, copies, keys, matches, chunk, set."""
     starts = group_starts(whole)
     ends = np.append(starts[1:], whole.num_rows)
-    mine = whole.column(3).to_numpy()
-    two = whole.column(1).to_numpy() != whole.column(2).to_numpy()
-    reps, copies = whole.column(4).to_numpy(), whole.column(5).to_numpy()
+    reps = whole.column(4).to_numpy()
     out_rep, out_links, out_edge = [], [], []
     for first, last in zip(starts, ends):
-        n = last - first
+        begins = first + np.flatnonzero(np.append(True, reps[first + 1 : last] != reps[first : last - 1]))  # a member's first row
+        n = len(begins)
         if n < 2:
             continue
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in whole.column(6).slice(first, n).combine_chunks()]
+        heads = whole.take(pa.array(begins))
+        two = heads.column(1)[0].as_py() != heads.column(2)[0].as_py()
+        keys = np.array(heads.column(6).to_pylist(), np.int64)
+        a, b = candidates(keys, signatures_of(heads.column(7)), heads.column(3).to_numpy() if two else None)
+        if not len(a):
+            continue
+        rows = [np.frombuffer(x.as_buffer(), np.uint64) for x in whole.column(9).slice(first, last - first).combine_chunks()]
+        bounds = [*(begins - first), last - first]
+        sets = [rows[x] if y - x == 1 else np.concatenate(rows[x:y]) for x, y in zip(bounds, bounds[1:])]
         sizes = np.fromiter(map(len, sets), np.int64, n)
-        shared = overlaps(sets, sizes)
-        close = shared * (1 + SIMILARITY) >= SIMILARITY * (sizes[:, None] + sizes[None, :]) - 1e-9
-        np.fill_diagonal(close, False)
-        if two[first]:
-            close &= mine[first:last][:, None] != mine[first:last][None, :]
-        own = copies[first:last]
-        label = connected(n, *np.nonzero(np.triu(close)), np.arange(n))
-        out_rep.append(reps[first:last])
-        out_links.append(close @ own)
-        out_edge.append(reps[first:last][label])
+        if len(a) <= 2 * n:
+            shared = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a, b)], np.int64)
+        else:
+            shared = overlaps(sets)[a, b]
+        close = shared * (1 + SIMILARITY) >= SIMILARITY * (sizes[a] + sizes[b]) - 1e-9
+        a, b = a[close], b[close]
+        copies = heads.column(5).to_numpy()
+        links = np.bincount(a, copies[b], n) + np.bincount(b, copies[a], n)
+        out_rep.append(reps[begins])
+        out_links.append(links)
+        out_edge.append(reps[begins][connected(n, a, b, np.arange(n))])
     if out_rep:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (out_rep, out_links, out_edge)], names=["rep", "links", "edge"])
 
 
-def overlaps(sets: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of all pairs: the product of the incidence matrix with itself, some columns at a time."""
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of pairs: the product of the incidence matrix with itself, some columns at a time."""
     n = len(sets)
-    if n == 2:
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return np.array([[sizes[0], both], [both, sizes[1]]])
     value, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(n), sizes)
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
     often = count > 1
     number = np.cumsum(often) - 1
     row, column = row[often[column]], number[column[often[column]]]
@@ -266,9 +303,7 @@ def overlaps(sets: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
         part = np.zeros((n, width), np.float32)
         part[row[a:b], column[a:b] - at] = 1
         out += part @ part.T
-    out = out.astype(np.int64)
-    np.fill_diagonal(out, sizes)
-    return out
+    return out.astype(np.int64)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -285,11 +320,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     buckets = in_block_pairs(banded, "rep").select("key", "i", "j", "mine", "rep", "matches")
     buckets = buckets.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     parts = spanned(buckets.mapInArrow(by_group(bucket_edges, 20_000), "a long, b long"))
-    members = parts.join(reps.select("rep", "f", "digest", "copies"), F.col("node") == F.col("rep"))
-    members = settled(with_blocks(members.select("part", "rep", "copies", F.col("f.d").alias("rep_id"), F.col("f.t").alias("text_hash"), "digest"), "part", PART_BLOCK), "members")
-    sets = shingle_sets(docs, signed, members)
-    pairs = in_block_pairs(sets, "rep").select("part", "i", "j", "mine", "rep", "copies", "set")
-    exact = pairs.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j").mapInArrow(by_group(verified, 2_000), "rep long, links long, edge long")
+    members = parts.join(reps.select("rep", "f", "copies", "size", "keys", "matches"), F.col("node") == F.col("rep"))
+    members = members.select("part", "rep", "copies", "keys", "matches", "size", F.col("f.d").alias("rep_id"), F.col("f.t").alias("text_hash"))
+    members = settled(with_blocks(members, "part", PART_BLOCK, 8 * F.col("size"), PART_BYTES).drop("size"), "members")
+    sets = shingle_sets(docs, signed, members.select("rep", "rep_id", "text_hash"))
+    pairs = in_block_pairs(sets.join(members.drop("rep_id", "text_hash"), "rep"), "rep")
+    pairs = pairs.select("part", "i", "j", "mine", "rep", "copies", "keys", "matches", "chunk", "set")
+    exact = pairs.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j", "rep", "chunk").mapInArrow(by_group(verified, 2_000), "rep long, links long, edge long")
     exact = settled(exact, "exact")
     links = exact.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = spanned(exact.select(F.col("rep").alias("a"), F.col("edge").alias("b")))
@@ -302,22 +339,34 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, signed: DataFrame, chosen: DataFrame) -> DataFrame:
-    """chosen (part, rep, copies, __blocks) with set (sorted 64-bit values): the set of each representative's first document, from its text."""
+    """rep, chunk and set (up to CHUNK sorted 64-bit values): the set of the first document of each of chosen (rep, rep_id, text_hash), from its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
+
+        def out(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+            reps, chunks, sets = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(chunks, pa.int32()), pa.array(sets, pa.binary())], names=["rep", "chunk", "set"])
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                sets = [shingle(t.as_py()).tobytes() for t in part.column(4)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(sets, pa.binary())], names=["part", "rep", "copies", "__blocks", "set"])
+            rows, held = [], 0
+            for rep, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = shingle(text.as_py())
+                for k in range(0, len(own), CHUNK):
+                    rows.append((rep, k // CHUNK, own[k : k + CHUNK].tobytes()))
+                held += own.nbytes
+                if held > HELD_BYTES // 4:
+                    yield out(rows)
+                    rows, held = [], 0
+            if rows:
+                yield out(rows)
 
     texts = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("rep_id"), F.xxhash64("text").alias("text_hash"), "text")
     small = chosen.count() <= BROADCAST_ROWS
     joined = texts.join(F.broadcast(chosen) if small else chosen, ["rep_id", "text_hash"])
-    sets = joined.select("part", "rep", "copies", "__blocks", "text").mapInArrow(run, "part long, rep long, copies long, __blocks int, set binary")
+    sets = joined.select("rep", "text").mapInArrow(run, "rep long, chunk int, set binary")
     repeated = signed.groupBy("doc_id", "text_hash").count().filter("count > 1")
-    return sets if repeated.isEmpty() else sets.dropDuplicates(["rep"])
+    return sets if repeated.isEmpty() else sets.dropDuplicates(["rep", "chunk"])
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
@@ -327,20 +376,20 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     """
     counts = docs.agg(F.count("*"), F.countDistinct("doc_id")).first()
     if counts[0] == counts[1]:
-        numbered, key = docs, "doc_id"
-    else:
-        numbered, key = settled(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered"), "__row"
-    kept = near_duplicates(numbered, key).filter("doc_id = class_id").select(F.col("doc_id").alias(key))
-    return numbered.join(kept, key, "left_semi").select(*docs.columns)
+        kept = near_duplicates(docs).filter("doc_id = class_id").select("doc_id")
+        return docs.join(kept, "doc_id", "left_semi").select([F.col(f"`{c}`") for c in docs.columns])
+    numbered = settled(docs.select(whole(docs).alias("__doc"), "text", F.monotonically_increasing_id().alias("__row")), "numbered")
+    kept = near_duplicates(numbered, "__row").filter("doc_id = class_id").select(F.col("doc_id").alias("__row"))
+    return numbered.join(kept, "__row", "left_semi").select("__doc.*")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-#: DuckDB SQL for op5_jaccard_join over documents.
+#: DuckDB SQL for op5_jaccard_join over documents. Its white space is that of str.split.
 OP5_SQL = r"""
-WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda w: w <> '') AS w FROM documents),
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda w: w <> '') AS w FROM documents),
 g AS (SELECT DISTINCT r, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i : i + 4], ' ') END AS s
       FROM (SELECT r, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE len(w) > 0)),
 z AS (SELECT d.r, doc_id, coalesce(n, 0) AS n, coalesce(k, '') AS k

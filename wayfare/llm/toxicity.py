@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import discard, settled, table, text_or_empty
+from .common import discard, settled, table, text_or_empty, whole
 
 #: Labelled ids that teach; with more of them those whose hash lies below a bound that lets about so many pass.
 TRAIN_ROWS = 500_000
@@ -278,8 +278,7 @@ def scored(docs: DataFrame, labels: DataFrame, carried: tuple[str, ...] = ()) ->
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't toxic, with their own columns. Each row is judged by its own text, whether or not its doc_id is null or shared."""
-    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__doc"))  # apart from the scores, whatever the columns' names
-    return scored(whole, labels, ("__doc",)).filter("predicted = 0").select("__doc.*")
+    return scored(docs.select("doc_id", "text", whole(docs).alias("__doc")), labels, ("__doc",)).filter("predicted = 0").select("__doc.*")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
