@@ -6,7 +6,7 @@ their limits in proportion to the shrunk rate, and a host that fails almost alwa
 without symbols and repeated lines stays on any other host.
 
 Words are runs of characters other than ASCII white space. A null text has none, so it fails for being short; a null
-host is a host of its own. Repeated rows count each.
+host is a host of its own, apart from an empty one. Repeated rows count each. Windows of three words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settled, table
+from .common import settled, table, whole
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -69,7 +69,8 @@ def over(limit_part: Column) -> Column:
 
 
 def host() -> Column:
-    return F.coalesce(F.col("source"), F.lit(""))
+    """The host, marked, so that none reads like a missing one."""
+    return F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
 
 
 def host_rates(measures: DataFrame) -> DataFrame:
@@ -95,10 +96,9 @@ def judged(measures: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with their own columns. Measures are taken twice rather than written beside the texts."""
-    rates = host_rates(measured(docs.select("source", "text")))
-    whole = docs.select(F.struct(*docs.columns).alias("__doc"), "source", "text")  # apart from the measures, whatever the columns' names
-    return judged(measured(whole), rates).filter("kept").select("__doc.*")
+    """The documents that stay, with their own columns. Rows and their measures are written once; host rates read the measures only."""
+    measures = settled(measured(docs.select(whole(docs).alias("__doc"), "source", "text")).drop("text"), "measures")
+    return judged(measures, host_rates(measures)).filter("kept").select("__doc.*")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +109,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: DuckDB SQL for op8_quality over documents.
 OP8_SQL = f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || source, '') AS host, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, unnest(x) AS word, generate_subscripts(x, 1) AS i
       FROM (SELECT r, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda y: y <> '') AS x FROM d)),
 g AS (SELECT r, i, word, lead(word) OVER o AS b, lead(word, 2) OVER o AS c FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
