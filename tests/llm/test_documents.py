@@ -57,39 +57,137 @@ def likeness(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
+MASK = (1 << 64) - 1
+
+
+def tag(digest):
+    """2^32 plus Spark's 32-bit hash of a 64-bit number (Murmur3, seed 42)."""
+    h, m = 42, 0xFFFFFFFF
+    for part in (digest & m, digest >> 32 & m):
+        part = part * 0xCC9E2D51 & m
+        part = (part << 15 | part >> 17) & m
+        h ^= part * 0x1B873593 & m
+        h = ((h << 13 | h >> 19) & m) * 5 + 0xE6546B64 & m
+    h ^= 8
+    h = (h ^ h >> 16) * 0x85EBCA6B & m
+    h = (h ^ h >> 13) * 0xC2B2AE35 & m
+    return (1 << 32) + (h ^ h >> 16)
+
+
+def turn(digest, n):
+    return (digest << n | digest >> 64 - n) & MASK if n else digest
+
+
+def read_fingerprint(text):
+    *_, count, cells = text.split(":")
+    return int(count), [[tuple(int(v, 16) for v in c.split(".")) if c else (0, 0) for c in row.split(",")] for row in cells.split(";")]
+
+
+def fold(rows, size):
+    out = []
+    for row in rows:
+        step = len(row) // size
+        xors = [0] * size
+        for k, (x, _) in enumerate(row):
+            xors[k // step] ^= x
+        out.append(list(zip(xors, [sum(s for _, s in row[k * step : (k + 1) * step]) for k in range(size)])))
+    return out
+
+
+def peel(rows):
+    """How many digests a difference of sketches holds, or None."""
+    rows, found, size = [list(r) for r in rows], 0, len(rows[0])
+    while True:
+        hits = {turn(x, 64 - 16 * r if r else 0): (1 if s > 0 else -1) for r, row in enumerate(rows) for x, s in row if 1 << 32 <= abs(s) < 1 << 33 and abs(s) == tag(x)}
+        if not hits:
+            return None if any(x or s for row in rows for x, s in row) else found
+        found += len(hits)
+        for digest, sign in hits.items():
+            for r, row in enumerate(rows):
+                t = turn(digest, 16 * r)
+                c = (t ^ 1 << 63) >> 64 - size.bit_length() + 1  # cells stand in signed order
+                row[c] = (row[c][0] ^ t, row[c][1] - sign * tag(t))
+
+
+def likeness_of(a, b):
+    """From two fingerprints alone: the likeness, and whether it had to be estimated."""
+    (m, x), (n, y) = read_fingerprint(a), read_fingerprint(b)
+    size = min(len(x[0]), len(y[0]))
+    minus = [[(p ^ q, s - t) for (p, s), (q, t) in zip(u, v)] for u, v in zip(fold(x, size), fold(y, size))]
+    d, estimated = peel(minus), False
+    if d is None:  # smaller sizes fail where the largest does
+        squares = sum((s / 6442450943 - (m - n) / size) ** 2 for row in minus for _, s in row)
+        d, estimated = min(m + n, max(abs(m - n), round(squares / 3 / (28 / 27 - 1 / size)))), True
+    return (1.0 if m + n == 0 else (m + n - d) / (m + n + d)), estimated
+
+
 def test_fingerprints(spark, odd_docs, odd_rows, no_docs, monkeypatch):
+    import xxhash
+
     monkeypatch.setattr(fingerprints, "ROWS_PER_RANGE", 7)
+    signed = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) + (1 << 63)) % (1 << 64)
+    ordered = sorted(((i, t or "") for i, t, *_ in odd_rows), key=lambda r: (r[0] is None, -(r[0] or 0), signed(r[1])))
     got = {}
     for r in fingerprints.fingerprinted(odd_docs).collect():
-        got.setdefault((r["doc_id"], r["n_chars"]), []).append(r)
-    known = sorted(((i, t or "") for i, t, *_ in odd_rows if i is not None), key=lambda r: (-r[0], r[1]))
-    nulls = [t or "" for i, t, *_ in odd_rows if i is None]
-    assert sum(map(len, got.values())) == len(odd_rows)
-    for (i, t), (_, after) in zip(known[:-1], known[1:]):
-        half = len(t) // 2
-        edited = t[: len(t) - half] + after[:half]
-        digest = hashlib.sha256(edited.encode()).hexdigest()
-        r = next(r for r in got[i, len(t)] if r["edited_sha256"] == digest and r["near_next"] == pytest.approx(likeness(t, after)))
-        assert r["near_edited"] == pytest.approx(likeness(t, edited))
-    same = [r["fingerprint"] for i in (3, 4) for r in got[i, len(next(t for k, t, *_ in odd_rows if k == i))]]
-    assert len(same) == 3 and len(set(same)) == 1 and len(nulls) == 2
+        got.setdefault((r["doc_id"], r["n_chars"], r["edited_sha256"]), []).append(r)
+    print_of, near, exact = {}, [], 0
+    for (i, t), (_, after) in zip(ordered, ordered[1:] + ordered[:1]):
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        r = got[i, len(t), hashlib.sha256(edited.encode()).hexdigest()].pop()
+        for text, column in ((t, "fingerprint"), (edited, "edited_fingerprint")):
+            assert print_of.setdefault(text, r[column]) == r[column]
+        near.append((t, edited, r["fingerprint"], r["edited_fingerprint"], r["near_edited"]))
+        near.append((t, after, r["fingerprint"], None, r["near_next"]))
+    assert not any(got.values())
+    for a, b, print_a, print_b, found in near:
+        want, estimated = likeness_of(print_a, print_b or print_of[b])
+        assert found == pytest.approx(want)
+        if not estimated:
+            exact += 1
+            assert found == pytest.approx(likeness(a, b))
+        else:
+            assert found == pytest.approx(likeness(a, b), abs=0.25)
+    assert exact > 0.8 * len(near)
     assert fingerprints.fingerprinted(no_docs).count() == 0
     alone = fingerprints.fingerprinted(odd_docs.filter("doc_id = 5")).first()
     assert alone["near_next"] == 1.0
 
 
+def test_a_doc_id_of_many_rows_spans_ranges(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "ROWS_PER_RANGE", 10)
+    rows = [(k % 3 if k < 200 else 5, f"text {k}") for k in range(500)] + [(None, f"none {k}") for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sizes = [r["count"] for r in fingerprints.ranged(docs).groupBy("__range").count().collect()]
+    assert sum(sizes) == 650 and max(sizes) < 60 and len(sizes) > 30
+    assert fingerprints.fingerprinted(docs).count() == 650
+
+
+def sketched(sets):
+    return F.expr(fingerprints.let("w", fingerprints.marks("bits"), fingerprints.sketch(sets, "w")))
+
+
 def test_sketches_are_peeled_and_retried(spark):
     rng = random.Random(2)
+    draw = lambda: (rng.getrandbits(63) | fingerprints.ODD) & ~fingerprints.SECOND
     sets = []
-    for n in (0, 1, 5, 12, 40, 300):
-        a = [rng.getrandbits(63) | fingerprints.ODD & (1 << 63) - 1 for _ in range(n)]
-        a = [(x | fingerprints.ODD) & ~fingerprints.SECOND for x in a]
-        sets.append((a, a[: n // 2] + [(rng.getrandbits(63) | fingerprints.ODD) & ~fingerprints.SECOND for _ in range(n // 3)]))
+    for n in (0, 1, 5, 12, 40, 300, 5000):
+        a = [draw() for _ in range(n)]
+        sets.append((a, a[: n // 2] + [draw() for _ in range(n // 3)]))
     df = spark.createDataFrame(sets, "a array<long>, b array<long>")
-    for bits in (3, 9):
-        rows = df.select("a", "b", F.expr(fingerprints.differing("a", "b", str(bits))).alias("d")).collect()
-        assert all(r["d"] in (None, len(set(r["a"]) ^ set(r["b"]))) for r in rows)
-        assert bits == 3 and rows[-1]["d"] is None or bits == 9 and rows[-1]["d"] is not None
+    least = {}
+    for bits in (3, 6, 9, 12):
+        cells = df.withColumn("bits", F.lit(bits)).withColumn("x", sketched("a")).withColumn("y", sketched("b"))
+        cells = cells.withColumn("m", F.expr(fingerprints.minus("x", "y")))
+        found = cells.select("a", "b", F.expr(fingerprints.differing("m", str(bits), str(bits))).alias("d"), F.expr(fingerprints.differing("m", "3", str(bits))).alias("e")).collect()
+        for k, r in enumerate(found):
+            want = len(set(r["a"]) ^ set(r["b"]))
+            assert r["d"] in (None, want) and r["e"] in (None, want) and (r["e"] is not None or r["d"] is None)
+            if r["d"] is not None:
+                least.setdefault(k, bits)
+    assert least[0] == 3 and least[5] in (6, 9) and least[6] == 12 and sorted(least) == list(range(7))
+    # a sketch folded is the sketch of that size
+    both = df.withColumn("bits", F.lit(6)).withColumn("x", sketched("a")).withColumn("bits", F.lit(4)).withColumn("y", sketched("a"))
+    assert both.filter(F.expr(f"{fingerprints.folded('x', '6', '4')} = y")).count() == len(sets)
 
 
 def maximal_segments(values, first=0):
@@ -226,18 +324,61 @@ def test_jaccard_join(spark, odd_rows, no_docs, monkeypatch):
     want = brute_classes(rows)
     assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard_join.near_duplicates(docs).collect()) == want
     plain = jaccard_join.with_blocks
-    monkeypatch.setattr(jaccard_join, "with_blocks", lambda rows, key, block=0: plain(rows, key, 3))  # every group in many blocks
+    monkeypatch.setattr(jaccard_join, "with_blocks", lambda rows, key, *_: plain(rows, key, 3))  # every group in many blocks
     monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(jaccard_join, "CHUNK", 20)
+    monkeypatch.setattr(jaccard_join, "HELD_BYTES", 2000)
     assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard_join.near_duplicates(docs).collect()) == want
     assert jaccard_join.near_duplicates(no_docs).count() == 0
 
 
+def test_only_pairs_that_met_and_stayed_are_verified(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    n = 40
+    sets = [np.arange(100, dtype=np.uint64) for _ in range(n)]  # all alike, so that only the candidates decide
+    signed = rng.integers(0, 3, (n, 60)).astype(np.uint8)
+    signed[20:] = signed[20]
+    keys = rng.integers(0, 300, (n, 20))
+    want = set()
+    for a in range(n):
+        for b in range(a + 1, n):
+            matches = np.cumsum(signed[a] == signed[b])
+            if (keys[a] == keys[b]).any() and all(matches[k - 1] >= jaccard_join.least_matches(k) for k in range(10, 61, 10)):
+                want.add((a, b))
+    got = set(zip(*map(np.ndarray.tolist, jaccard_join.candidates(keys, signed, None))))
+    assert got == want and want and len(want) < n * (n - 1) // 2
+    rows = {"part": [0] * n, "i": [0] * n, "j": [0] * n, "mine": [0] * n, "rep": list(range(n)), "copies": [1] * n}
+    whole = pa.table(rows | {"keys": keys.tolist(), "matches": [x.tobytes() for x in signed], "chunk": [0] * n, "set": [x.tobytes() for x in sets]})
+    (found,) = jaccard_join.verified(whole)
+    assert found.column(1).to_pylist() == [sum(k in p for p in want) for k in range(n)]
+
+
+def test_blocks_hold_bytes(spark):
+    rows = spark.createDataFrame([(k % 2, k, 100 if k % 2 else 1) for k in range(20)], "part long, rep long, size long")
+    got = {r["part"]: r["__blocks"] for r in jaccard_join.with_blocks(rows, "part", 50, F.col("size"), 300).collect()}
+    assert got == {0: 1, 1: 4}
+
+
+def test_words_end_at_the_same_white_space_in_sql(spark):
+    rows = [(1, "a\xa0b c\u2003d e f\x1cg"), (2, "a b c d e f g"), (3, "a\u200bb c d e f g"), (4, "A\x85b c d e\u3000f g"), (5, "one two")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    got = sorted(map(tuple, jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == sorted(con.sql(jaccard_join.OP5_SQL).fetchall()) and got[0][3] == 2
+
+
 def test_one_of_each_class_stays(spark, odd_docs, odd_rows):
     kept = jaccard_join.kept_documents(odd_docs)
     assert kept.columns == odd_docs.columns
     texts = Counter(t for i, t, *_ in odd_rows)
     got = Counter(r["text"] for r in kept.collect())
     assert all(n == 1 for n in got.values()) and len([t for t in got if t and len(t.split()) > 4]) <= len(texts)
+    named = odd_docs.withColumnsRenamed({"length": "__row", "n_words": "a.b"})
+    assert jaccard_join.kept_documents(named).columns == named.columns and quality.kept_documents(named).columns == named.columns
     plain = spark.createDataFrame(near_copies(), "doc_id long, text string")
     assert jaccard_join.kept_documents(plain).count() == len({c for _, c, _ in brute_classes(near_copies())})
 
@@ -265,6 +406,19 @@ def test_quality(spark, odd_docs, odd_rows, no_docs):
     assert quality.kept_documents(no_docs).count() == 0
 
 
+def test_a_missing_host_is_its_own(spark):
+    rows = [(k, None, "## " * 60) for k in range(20)] + [(100 + k, "", " ".join(f"w{k}x{j}" for j in range(60))) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    measures = quality.measured(docs).cache()
+    rates = {r["doc_id"]: r["host_rate"] for r in quality.judged(measures, quality.host_rates(measures)).collect()}
+    assert min(rates[k] for k in range(20)) > 0.9 and max(rates[100 + k] for k in range(20)) < 0.1
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, source VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    want = {r[0]: r[-1] for r in con.sql(quality.OP8_SQL).fetchall()}
+    assert {k: round(x, 9) for k, x in rates.items()} == want
+
+
 def test_hosts_tighten_limits(spark):
     junk = [(k, "bad", "word%d " % k * 1 + "## " * 30 + " ".join(f"a{k}b{j}" for j in range(60))) for k in range(40)]
     mild = " ".join(f"m{j}" for j in range(80)) + " ####"
@@ -290,6 +444,40 @@ def test_quotation(spark):
     assert quotation.reply_ordered(df.limit(0)).count() == 0
 
 
+def test_latest_source_by_brute_force(spark):
+    rng = random.Random(12)
+    quotes = [(c, d, rng.randrange(40)) for c in range(2) for d in range(3) for _ in range(12)]
+    sources = [(c, d, rng.randrange(40)) for c in range(2) for d in range(3) for _ in range(9)]
+    frames = [spark.createDataFrame(x, "conv_id long, digest long, turn long") for x in (quotes, sources)]
+    got = {(r["conv_id"], r["digest"], r["turn"]): r["__from"] for r in quotation.latest_sources(*frames, turns=7).collect()}
+    assert got == {(c, d, t): max((u for a, b, u in sources if (a, b) == (c, d) and u < t), default=None) for c, d, t in quotes}
+
+
+def test_long_conversations(spark, monkeypatch):
+    """One conversation and one thread of many rows, a passage that all quote, a long text; places against DuckDB."""
+    from wayfare.functions import arcs
+
+    monkeypatch.setattr(arcs, "RANGE_ROWS", 50)
+    monkeypatch.setattr(quotation, "TURNS", 16)
+    rows = [(1, 0, "user", "Common words")] + [(1, k, "user", "> Common words\n" + f"answer {k}") for k in range(1, 300)] + [(2, k, "a", "> answer\n" * 3 + "x " * 5000) for k in range(3)]
+    rows += [(None, None, "user", "nobody")] * 120 + [(3, None, None, None)] * 70 + [(4, 5, "user", "tie")] * 60
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = sorted(map(tuple, quotation.reply_ordered(df).collect()), key=str)
+    con = duckdb.connect()
+    con.register("conversations", df.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
+    assert got == sorted(con.sql(quotation.OP10_SQL).fetchall(), key=str)
+    assert sum(r[6] == 0 for r in got) == 299
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the tables aren't here")
+def test_quoted_replies_equal_sql(spark):
+    got = sorted(map(tuple, quotation.quoted_replies(spark, SF).collect()), key=str)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
+    assert got == sorted(con.sql(quotation.QUOTED_SQL).fetchall(), key=str)
+    assert sum(r[5] for r in got) > 20
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the tables aren't here")
 def test_pipeline(spark):
     import corpus_pipeline

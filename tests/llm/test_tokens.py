@@ -121,26 +121,46 @@ def test_token_counts(spark, odd_docs, odd_rows, no_docs):
     assert token_counts.token_counts(no_docs, BYTE).count() == 0
 
 
+def by_key(rows):
+    """doc_id, ids with the end id, and ids before, in the order of shards: null first, then by doc_id, then by the hash of the text."""
+    import xxhash
+
+    library, start, out = Tokenizer.from_file(WORD), 0, []
+    signed = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) + (1 << 63)) % (1 << 64)
+    for i, t in sorted(((i, t or "") for i, t, *_ in rows), key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1]))):
+        ids = four_bytes(library.encode(t, add_special_tokens=False).ids + [2])
+        out.append((i, start, ids))
+        start += len(ids) // 4
+    return out
+
+
 def test_table_shards(spark, odd_docs, odd_rows, no_docs):
-    library = Tokenizer.from_file(WORD)
     directory = new_dir(spark, "sst-test")
-    manifest = sstable.write_shards(odd_docs, WORD, directory, shard_rows=8)
-    got = [tuple(r) for r in sstable.read_shards(manifest, directory).collect()]
-    start, want = 0, []
-    for i, t in sorted(((i, t or "") for i, t, *_ in odd_rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
-        ids = library.encode(t, add_special_tokens=False).ids + [2]
-        want.append((i, start, len(ids), zlib.crc32(four_bytes(ids))))
-        start += len(ids)
-    assert Counter(got) == Counter(want)
+    manifest = sstable.write_shards(odd_docs, WORD, directory, shards=5)
+    want = by_key(odd_rows)
+    assert Counter(map(tuple, sstable.read_shards(manifest, directory).collect())) == Counter((i, at, len(ids) // 4, zlib.crc32(ids)) for i, at, ids in want)
     assert manifest.count() > 1
-    system, _ = sstable.file_system(directory)
-    found = []
-    for r in manifest.collect():
-        with system.open_input_file(r["path"]) as f:
-            found += sstable.Reader(f).get(sstable.key_of(3)) + sstable.Reader(f).get(sstable.key_of(999_999))
-    assert len(found) == 2 and found[0][1] == found[1][1]
+    keys = [3, 999_999, None, -5, 104]
+    found = [tuple(r) for r in sstable.looked_up(manifest, directory, keys).collect()]
+    assert Counter((i, at, bytes(ids)) for i, at, ids in found) == Counter(r for r in want if r[0] in keys)
     empty = sstable.write_shards(no_docs, WORD, new_dir(spark, "sst-test"))
-    assert sstable.read_shards(empty, directory).count() == 0
+    assert sstable.read_shards(empty, directory).count() == 0 and sstable.looked_up(empty, directory, [1]).count() == 0
+
+
+def test_one_key_spans_shards(spark, monkeypatch):
+    monkeypatch.setattr(sstable, "SUMMED", 2)
+    rows = [(7, f"text {k % 40}") for k in range(200)] + [(None, "same")] * 200 + [(8, "end"), (6, "begin")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    directory = new_dir(spark, "sst-test")
+    manifest = sstable.write_shards(docs, WORD, directory, shards=6)
+    assert manifest.count() >= 5 and manifest.agg({"n_docs": "max"}).first()[0] < 200
+    want = by_key(rows)
+    assert Counter(map(tuple, sstable.read_shards(manifest, directory).collect())) == Counter((i, at, len(ids) // 4, zlib.crc32(ids)) for i, at, ids in want)
+    assert sstable.looked_up(manifest, directory, [7, None]).count() == 400
+
+
+def test_shards_follow_bytes():
+    assert [sstable.shard_count(n, 8) for n in (0, 1, 9 << 20, 1 << 30, 100 << 40)] == [1, 1, 2, 32, 409_600]
 
 
 def test_shard_file(tmp_path):

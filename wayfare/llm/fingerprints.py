@@ -3,20 +3,26 @@
 A text is cut into short paragraphs (at line feeds and sentence ends, long ones every 200 characters); their 64-bit digests
 form a set. A sketch has three rows of a power of two of cells; a digest enters one cell of each row, by its leading bits after it
 is turned by 0, 16 or 32 bits. A cell holds the xor of its (turned) digests and the sum of their tags (2^32 plus a 32-bit
-hash), so that the sum tells both their number and whether the xor is a single digest. Two sketches subtract cell by cell; cells of
-single digests are peeled until nothing is left, which recovers the digests in which the texts differ. If eight cells a row
-are too few, larger sketches follow, of the size that the first difference's counts suggest and then of twice that. What even
-that can't peel is told by the digests themselves. A row is built by sorting the turned digests among a mark for each cell.
-
-The fingerprint is the sketch of eight cells a row with the text's length and hash. Likeness is the Jaccard similarity of the two sets of
-digests, from their sizes and the number of differing digests; two empty sets are alike. A null text is empty. Rows follow by
-descending doc_id, equal ones by text, null ones last; after the last comes the first, which in a table of one row is itself.
+hash), so that the sum tells both their number and whether the xor is a single digest. A row is built by sorting the turned digests
+among a mark for each cell. The fingerprint is the text's length and hash, the number of digests, and a sketch that
+has a cell a row for PER_CELL of them, eight at least; there is no largest one.
+
+Two fingerprints are compared by what they hold and nothing else. Cells of neighbours add up to those of a smaller sketch, so both
+are brought to the smaller one's size and subtracted cell by cell; cells of single digests are peeled until nothing is left, which recovers the
+digests in which the texts differ. Peeling begins at a size that the difference's counts suggest; where it fails it is tried again at twice the
+size, up to the common one. What that can't peel (texts of very different size, mostly) is estimated by the counts' squared
+deviations, with a relative error of about 1 / sqrt(1.5 cells a row), between the bounds that the numbers of digests give. Likeness is the
+Jaccard similarity of the two sets of digests, from their sizes and the number of differing digests; two empty sets are alike.
+
+A null text is empty. Rows follow by descending doc_id, null ones last, equal ones by a hash of the text; after the last comes the first,
+which in a table of one row is itself. Neighbours meet in ranges of about ROWS_PER_RANGE rows; a doc_id of more rows spans several.
 """
 
 from __future__ import annotations
 
 import json
 import math
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,12 +32,11 @@ from .common import table, text_or_empty
 
 ROWS_PER_RANGE = 2000
 MAX_RANGES = 1 << 16
-NULL_RANGES = 64
 ROUNDS = 24
-FIRST_BITS, MAX_BITS = 3, 13
+FIRST_BITS = 3
 TABLE_ROWS = 3
-#: Differing digests for each cell of a row that a sketch is made for.
-PER_CELL = 1.1
+#: Differing digests for each cell of a row that a sketch is made for, and at which peeling begins.
+PER_CELL, PEELED_PER_CELL = 1.1, 1.6
 #: Bits that every digest has (the lowest one after any turn), by which marks of cells differ; and the bit that none has, set for those of the second text.
 ODD, SECOND = 0x0001000100010001, 2
 PARAGRAPH = "(?s)[^.!?\\n]{1,200}[.!?\\n]*|[.!?\\n]+"
@@ -101,47 +106,59 @@ def peeled(cells: str, marked: str) -> str:
     return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, n) -> if(s.go, {step}, s), s -> {clear})"
 
 
-def differing(a: str, b: str, bits: str) -> str:
-    """How many digests differ, through sketches of 2^bits cells a row; null if they can't be peeled."""
-    found = let("w", marks(bits), peeled(minus(sketch(a, "w"), sketch(b, "w")), "w"))
-    return f"if({bits} > {MAX_BITS}, null, {let('y', found, 'if(y is null, null, size(y))')})"
+def folded(cells: str, bits: str, to: str) -> str:
+    """A sketch of 2^bits cells a row brought to 2^to."""
+    sum_ = "(a, x) -> named_struct('k', a.k ^ x.k, 's', a.s + x.s)"
+    own = f"aggregate(slice(u, c * shiftleft(1, {bits} - {to}) + 1, shiftleft(1, {bits} - {to})), named_struct('k', 0L, 's', 0L), {sum_})"
+    return f"if({bits} = {to}, {cells}, transform({cells}, u -> transform(sequence(0, shiftleft(1, {to}) - 1), c -> {own})))"
+
+
+def differing(cells: str, first: str, bits: str) -> str:
+    """How many digests a difference of sketches of 2^bits cells a row holds, peeled at 2^first cells, then twice that, up to all; null if none can be."""
+    found = let("w", marks("t"), peeled(folded(cells, bits, "t"), "w"))
+    return f"aggregate(sequence({first}, {bits}), cast(null as int), (d, t) -> if(d is not null, d, {let('y', found, 'if(y is null, null, size(y))')}))"
 
 
 def with_likeness(df: DataFrame, name: str, a: str, cells_a: str, b: str, cells_b: str) -> DataFrame:
-    """Add the likeness of two columns of digests, given the columns of their sketches."""
-    df = df.withColumn("__minus", F.expr(minus(cells_a, cells_b)))
-    # in each of three rows the squared deviations of the counts add up to about the number of differing digests
-    even = f"((size({a}) - size({b})) / 8D)"
-    guess = f"(aggregate(flatten(__minus), 0D, (t, x) -> t + power(x.s / 6442450943D - {even}, 2D)) / {TABLE_ROWS}D)"
-    df = df.withColumn("__guess", F.expr(guess))
-    df = df.withColumn("__bits", F.expr(f"cast(least({MAX_BITS + 1}D, greatest({FIRST_BITS + 1}D, ceil(log2(greatest(1D, __guess) / {PER_CELL}D)))) as int)"))
-    first = let("y", let("w", marks(str(FIRST_BITS)), peeled("__minus", "w")), "if(y is null, null, size(y))")
-    exact = f"size(array_except({a}, {b})) + size(array_except({b}, {a}))"
-    tries = [f"if(__guess > 30D, null, {first})", differing(a, b, "__bits"), differing(a, b, "(__bits + 1)"), exact]
-    df = df.withColumn("__d", F.expr(f"coalesce({', '.join(tries)})"))
-    total = F.size(a) + F.size(b)
-    return df.withColumn(name, F.when(total == 0, F.lit(1.0)).otherwise((total - F.col("__d")) / (total + F.col("__d")))).drop("__minus", "__guess", "__bits", "__d")
-
-
-def digested(df: DataFrame, text: str, digests: str, cells: str) -> DataFrame:
-    """Add the digests and the sketch of a text column."""
+    """Add the likeness of two columns of numbers of digests, given the columns of their sketches."""
+    df = df.withColumn("__bits", F.expr(f"cast(round(log2(least(size({cells_a}[0]), size({cells_b}[0])))) as int)"))
+    own = [folded(c, f"cast(round(log2(size({c}[0]))) as int)", "__bits") for c in (cells_a, cells_b)]
+    df = df.withColumn("__minus", F.expr(minus(*own)))
+    # in each row the squared deviations of the counts add up to the number of differing digests, but for the spread of tags and the mean
+    even, cells = f"(({a} - {b}) / shiftleft(1, __bits))", "shiftleft(1, __bits)"
+    squares = f"aggregate(flatten(__minus), 0D, (t, x) -> t + power(x.s / 6442450943D - {even}, 2D))"
+    df = df.withColumn("__guess", F.expr(f"{squares} / {TABLE_ROWS}D / (28D / 27D - 1D / {cells})"))
+    first = f"cast(least(__bits, greatest({FIRST_BITS}, ceil(log2(greatest(1D, __guess) / {PEELED_PER_CELL}D)))) as int)"
+    guess = f"least({a} + {b}, greatest(abs({a} - {b}), cast(round(__guess) as int)))"
+    df = df.withColumn("__d", F.expr(f"coalesce({differing('__minus', first, '__bits')}, {guess})"))
+    total = F.col(a) + F.col(b)
+    return df.withColumn(name, F.when(total == 0, F.lit(1.0)).otherwise((total - F.col("__d")) / (total + F.col("__d")))).drop("__bits", "__minus", "__guess", "__d")
+
+
+def digested(df: DataFrame, text: str, count: str, cells: str) -> DataFrame:
+    """Add the number of digests and the sketch of a text column."""
     cut = F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0))
-    df = df.withColumn(digests, F.array_distinct(F.transform(cut, lambda p: F.xxhash64(p).bitwiseOR(F.lit(ODD)).bitwiseAND(F.lit(~SECOND)))))
-    return df.withColumn(cells, F.expr(let("w", marks(str(FIRST_BITS)), sketch(digests, "w"))))
+    df = df.withColumn("__digests", F.array_distinct(F.transform(cut, lambda p: F.xxhash64(p).bitwiseOR(F.lit(ODD)).bitwiseAND(F.lit(~SECOND)))))
+    bits = f"cast(greatest({FIRST_BITS}, ceil(log2(greatest(1, size(__digests)) / {PER_CELL}D))) as int)"
+    return df.withColumn(count, F.size("__digests")).withColumn(cells, F.expr(let("w", marks(bits), sketch("__digests", "w")))).drop("__digests")
 
 
-def written(text: str, digests: str, cells: str) -> Column:
-    """The fingerprint as text: length and hash of the text, number of digests, and the cells that aren't empty."""
-    cell = F.expr(f"array_join(transform(filter(transform(flatten({cells}), (x, i) -> named_struct('i', i, 'x', x)), y -> y.x.s <> 0L), y -> concat_ws('.', y.i, lower(hex(y.x.k)), lower(hex(y.x.s)))), ',')")
-    return F.concat_ws(":", F.length(text), F.lower(F.hex(F.xxhash64(text))), F.size(digests), cell)
+def written(text: str, count: str, cells: str) -> Column:
+    """The fingerprint as text: length and hash of the text, number of digests, and the rows of cells (xor and sum, nothing for an empty one)."""
+    row = "array_join(transform(u, x -> if(x.s = 0L, '', concat(lower(hex(x.k)), '.', lower(hex(x.s))))), ',')"
+    return F.concat_ws(":", F.length(text), F.lower(F.hex(F.xxhash64(text))), count, F.expr(f"array_join(transform({cells}, u -> {row}), ';')"))
 
 
 def ranged(docs: DataFrame) -> DataFrame:
-    """docs with __range: a number that follows the order of rows, by quantiles of doc_id; at most MAX_RANGES and NULL_RANGES more."""
-    count = docs.count()
+    """docs with __hash and __range: a number that follows the order of rows, by quantiles of doc_id; a doc_id that holds several of them, and null, are cut by hash."""
+    docs = docs.withColumn("__hash", F.xxhash64("text"))
+    count, nulls = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
     ranges = min(MAX_RANGES, max(1, math.ceil(count / ROWS_PER_RANGE)))
     fractions = [k / ranges for k in range(1, ranges)]
-    bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", fractions, max(10_000, 20 * ranges))).first()[0] or [])) if fractions else []
+    found = (docs.agg(F.percentile_approx("doc_id", fractions, max(10_000, 20 * ranges))).first()[0] or []) if fractions else []
+    bounds = sorted(set(found))
+    often = {b: n for b, n in Counter(found).items() if n > 1}
+    last = len(bounds)
     step = max(1, math.isqrt(len(bounds)))
     groups = [bounds[k : k + step] for k in range(0, len(bounds), step)]
     place = F.lit(0)
@@ -150,16 +167,24 @@ def ranged(docs: DataFrame) -> DataFrame:
         inner = F.from_json(F.lit(json.dumps([[], *groups])), "array<array<bigint>>")
         docs = docs.withColumn("__top", F.size(F.filter(tops, lambda b: b <= F.col("doc_id"))))
         place = F.greatest(F.lit(0), F.col("__top") - 1) * step + F.size(F.filter(F.get(inner, F.col("__top")), lambda b: b <= F.col("doc_id")))
-    last = F.lit(len(bounds) + 1) + F.pmod(F.xxhash64("text"), F.lit(NULL_RANGES))
-    return docs.withColumn("__range", F.when(F.col("doc_id").isNull(), last).otherwise(len(bounds) - place).cast("int")).drop("__top")
+    own = F.when(F.col("doc_id").isNull(), F.lit(last + 1)).otherwise(last - place)
+    # of each range into how many it is cut: one, but for those that begin with a doc_id of several and for null
+    cuts = {last - bounds.index(b) - 1: n for b, n in often.items()} | {last + 1: max(1, math.ceil(nulls / ROWS_PER_RANGE))}
+    many = F.from_json(F.lit(json.dumps([cuts.get(k, 1) for k in range(last + 2)])), "array<bigint>")
+    docs = docs.withColumn("__own", own.cast("int"))
+    part = F.least(F.get(many, F.col("__own")) - 1, F.floor((F.shiftright("__hash", 12) + (1 << 51)) * F.get(many, F.col("__own")) / float(1 << 52)))
+    held = F.from_json(F.lit(json.dumps(bounds)), "array<bigint>")
+    # rows of such a range with other doc_ids are greater than its first one, so they stand before its cuts
+    alone = F.col("doc_id").isNull() | F.col("doc_id").eqNullSafe(F.get(held, F.lit(last - 1) - F.col("__own")))
+    return docs.withColumn("__range", F.struct("__own", F.when(alone, part).otherwise(F.lit(-1)).cast("long").alias("__part"))).drop("__top", "__own")
 
 
 def with_next(docs: DataFrame, add: Callable[[DataFrame], DataFrame], carried: list[str]) -> DataFrame:
     """Each row, with what add gives it, and the carried columns of the next one, as next_<name>. Neighbours meet in windows of one range; the ranges' last rows are joined to the next range's first."""
     placed = ranged(docs)
-    order = Window.partitionBy("__range").orderBy(F.col("doc_id").desc_nulls_last(), "text")
+    order = Window.partitionBy("__range").orderBy(F.col("doc_id").desc_nulls_last(), "__hash", "text")
     rows = add(placed)
-    names = [c for c in rows.columns if c != "__range"]
+    names = [c for c in rows.columns if c not in ("__range", "__hash")]
     rows = rows.withColumn("__next", F.lead(F.struct(*carried)).over(order))
     heads = add(placed.withColumn("__k", F.row_number().over(order)).filter("__k = 1").drop("__k"))
     heads = heads.select(F.col("__range").alias("__of"), F.struct(*carried).alias("__head"))
@@ -175,21 +200,21 @@ def with_next(docs: DataFrame, add: Callable[[DataFrame], DataFrame], carried: l
 def fingerprinted(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of each document."""
     own = docs.select("doc_id", text_or_empty().alias("text"))
-    rows = with_next(own, lambda df: digested(df, "text", "digests", "cells"), ["text", "digests", "cells"])
+    rows = with_next(own, lambda df: digested(df, "text", "count", "cells"), ["text", "count", "cells"])
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
     rows = rows.withColumn("edited", edited).drop("next_text")
-    rows = digested(rows, "edited", "edited_digests", "edited_cells")
+    rows = digested(rows, "edited", "edited_count", "edited_cells")
     rows = rows.withColumns(
         {
             "n_chars": F.length("text").cast("long"),
             "edited_sha256": F.sha2(F.encode("edited", "UTF-8"), 256),
-            "fingerprint": written("text", "digests", "cells"),
-            "edited_fingerprint": written("edited", "edited_digests", "edited_cells"),
+            "fingerprint": written("text", "count", "cells"),
+            "edited_fingerprint": written("edited", "edited_count", "edited_cells"),
         }
     ).drop("text", "edited")
-    rows = with_likeness(rows, "near_edited", "digests", "cells", "edited_digests", "edited_cells")
-    rows = with_likeness(rows, "near_next", "digests", "cells", "next_digests", "next_cells")
+    rows = with_likeness(rows, "near_edited", "count", "cells", "edited_count", "edited_cells")
+    rows = with_likeness(rows, "near_next", "count", "cells", "next_count", "next_cells")
     return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
