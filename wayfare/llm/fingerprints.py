@@ -183,10 +183,12 @@ def with_next(docs: DataFrame, add: Callable[[DataFrame], DataFrame], carried: l
     """Each row, with what add gives it, and the carried columns of the next one, as next_<name>. Neighbours meet in windows of one range; the ranges' last rows are joined to the next range's first."""
     placed = ranged(docs)
     order = Window.partitionBy("__range").orderBy(F.col("doc_id").desc_nulls_last(), "__hash", "text")
-    rows = add(placed)
-    names = [c for c in rows.columns if c not in ("__range", "__hash")]
+    # numbered first (all numbers pass), so that rows are exchanged before add widens them
+    placed = placed.withColumn("__k", F.row_number().over(order))
+    rows = add(placed.filter("__k > 0"))
+    names = [c for c in rows.columns if c not in ("__range", "__hash", "__k")]
     rows = rows.withColumn("__next", F.lead(F.struct(*carried)).over(order))
-    heads = add(placed.withColumn("__k", F.row_number().over(order)).filter("__k = 1").drop("__k"))
+    heads = add(placed.filter("__k = 1"))
     heads = heads.select(F.col("__range").alias("__of"), F.struct(*carried).alias("__head"))
     there = placed.select("__range").distinct()
     wrap = Window.orderBy("__range")  # a row for each range
