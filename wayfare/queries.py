@@ -372,7 +372,7 @@ def threshold_topk_disconnected(spark, sf_dir):
     return threshold_top(graph_of(spark, sf_dir, "pages"), 20).top
 
 
-@query(f"{searches_sql('part_next')}, j AS (SELECT min(g) AS g FROM h WHERE enough >= 20 OR least IS NULL), t AS (SELECT (SELECT count(*) FROM i) + (SELECT count(*) FROM q) AS apx) SELECT 20::INTEGER AS k, (apx + j.g)::BIGINT AS total_bfs, ((SELECT count(*) FROM k) + h.fresh)::BIGINT AS distinct_bfs, apx::BIGINT AS apx_bfs FROM t, j JOIN h ON h.g = j.g")
+@query(f"{searches_sql('part_next')}, j AS (SELECT min(g) AS g FROM h WHERE enough >= 20 OR least IS NULL), o AS (SELECT (SELECT count(*) FROM i) + (SELECT count(*) FROM q) AS apx) SELECT 20::INTEGER AS k, (apx + j.g)::BIGINT AS total_bfs, ((SELECT count(*) FROM k) + h.fresh)::BIGINT AS distinct_bfs, apx::BIGINT AS apx_bfs FROM o, j JOIN h ON h.g = j.g")
 def bfs_accounting(spark, sf_dir):
     graph = graph_of(spark, sf_dir, "part_next")
     found = threshold_top(graph, 20, made(graph))
@@ -387,9 +387,9 @@ ROUNDS = [(FIRST_SEED, SAMPLE_SEED), (4321, 192837465)]
 
 def _round_sql(first: int, sample: int) -> str:
     ks = "SELECT unnest([1] || range(20, 2001, 20)) AS want"
-    return f"""SELECT * FROM ({searches_sql('pages', first, sample)}, t AS (SELECT (SELECT count(*) FROM i) + (SELECT count(*) FROM q) AS apx),
+    return f"""SELECT * FROM ({searches_sql('pages', first, sample)}, o AS (SELECT (SELECT count(*) FROM i) + (SELECT count(*) FROM q) AS apx),
       j AS (SELECT want, (SELECT min(g) FROM h WHERE enough >= want OR least IS NULL) AS g FROM ({ks}))
-      SELECT want::INTEGER AS k, apx + j.g AS total, apx, (SELECT count(*) FROM k) + h.fresh AS made FROM t, j JOIN h ON h.g = j.g)"""
+      SELECT want::INTEGER AS k, apx + j.g AS total, apx, (SELECT count(*) FROM k) + h.fresh AS made FROM o, j JOIN h ON h.g = j.g)"""
 
 
 _RUNS = " UNION ALL ".join(_round_sql(*r) for r in ROUNDS)
@@ -401,7 +401,7 @@ def topk_sweep(spark, sf_dir):
     return sweep(graph_of(spark, sf_dir, "pages"), SWEEP_KS, [(portable_draw(node, a), portable_draw(node, b)) for a, b in ROUNDS])
 
 
-@query(f"{estimate_sql('part_next')}, r AS (SELECT s AS n, sum(d)::BIGINT AS far FROM bfs GROUP BY s), a AS (SELECT n FROM r QUALIFY rank() OVER (ORDER BY far) <= 20), b AS (SELECT n FROM f QUALIFY row_number() OVER (ORDER BY round(estimate, 6), n) <= 20) SELECT least(count(*), 20)::BIGINT AS hits, least(count(*), 20) / 20e0 AS precision FROM a JOIN b USING (n)")
+@query(f"{estimate_sql('part_next')}, m AS (SELECT s AS n, sum(d)::BIGINT AS far FROM bfs GROUP BY s), a AS (SELECT n FROM m QUALIFY rank() OVER (ORDER BY far) <= 20), b AS (SELECT n FROM f QUALIFY row_number() OVER (ORDER BY round(estimate, 6), n) <= 20) SELECT least(count(*), 20)::BIGINT AS hits, least(count(*), 20) / 20e0 AS precision FROM a JOIN b USING (n)")
 def precision_at_k(spark, sf_dir):
     graph = graph_of(spark, sf_dir, "part_next")
     guessed = estimated_closeness(made(graph)).select("node", F.round(1 / F.col("closeness"), 6).alias("estimate"))
@@ -493,7 +493,7 @@ def merged_array(spark, sf_dir):
     return spark.read.text(target).select(F.col("value").alias("merged"))
 
 
-@query(f"WITH {_PARSED}, z AS (SELECT DISTINCT src, dst FROM y), x AS (SELECT src - k AS src, dst - k AS dst FROM z, (SELECT CASE WHEN min(least(src, dst)) = 1 THEN 1 ELSE 0 END AS k FROM z)) SELECT concat(src, ' ', dst) AS line, row_number() OVER (ORDER BY src, dst) AS place FROM x")
+@query(f"WITH {_PARSED}, z AS (SELECT DISTINCT src, dst FROM y), c AS (SELECT src - k AS src, dst - k AS dst FROM z, (SELECT CASE WHEN min(least(src, dst)) = 1 THEN 1 ELSE 0 END AS k FROM z)) SELECT concat(src, ' ', dst) AS line, row_number() OVER (ORDER BY src, dst) AS place FROM c")
 def cleaned_text(spark, sf_dir):
     """Lines as written, with their places: files in order of their names, lines in order in each."""
     path = new_dir(spark, "cleaned")
