@@ -5,13 +5,14 @@ form a set. A sketch has three rows of a power of two of cells; a digest enters
 is turned by 0, 16 or 32 bits. A cell holds the xor of its (turned) digests and the sum of their tags (2^32 plus a 32-bit
 hash), so that the sum tells both their number and whether the xor is a single digest. A row is built by sorting the turned digests
 among a mark for each cell. The fingerprint is the text's length and hash, the number of digests, and a sketch that
-has a cell a row for PER_CELL of them, eight at least; there is no largest one.
+has a cell a row for PER_CELL of them, sixteen at least; there is no largest one.
 
 Two fingerprints are compared by what they hold and nothing else. Cells of neighbours add up to those of a smaller sketch, so both
 are brought to the smaller one's size and subtracted cell by cell; cells of single digests are peeled until nothing is left, which recovers the
 digests in which the texts differ. Peeling begins at a size that the difference's counts suggest; where it fails it is tried again at twice the
-size, up to the common one. What that can't peel (texts of very different size, mostly) is estimated by the counts' squared
-deviations, with a relative error of about 1 / sqrt(1.5 cells a row), between the bounds that the numbers of digests give. Likeness is the
+size, up to the common one. Beyond that both fingerprints are opened (each peeled to its own digests), and the digests are sketched anew at twice the
+size, and again, until the difference peels. Only if a fingerprint can't be opened, as two of its digests share their cells in all rows, the
+difference is estimated by the counts' squared deviations, between the bounds that the numbers of digests give. Likeness is the
 Jaccard similarity of the two sets of digests, from their sizes and the number of differing digests; two empty sets are alike.
 
 A null text is empty. Rows follow by descending doc_id, null ones last, equal ones by a hash of the text; after the last comes the first,
@@ -33,7 +34,9 @@ from .common import table, text_or_empty
 ROWS_PER_RANGE = 2000
 MAX_RANGES = 1 << 16
 ROUNDS = 24
-FIRST_BITS = 3
+#: Doublings of a size that is tried again; sixteen cells a row grow to a million.
+RETRIES = 16
+FIRST_BITS = 4
 TABLE_ROWS = 3
 #: Differing digests for each cell of a row that a sketch is made for, and at which peeling begins.
 PER_CELL, PEELED_PER_CELL = 1.1, 1.6
@@ -119,20 +122,31 @@ def differing(cells: str, first: str, bits: str) -> str:
     return f"aggregate(sequence({first}, {bits}), cast(null as int), (d, t) -> if(d is not null, d, {let('y', found, 'if(y is null, null, size(y))')}))"
 
 
+def anew(cells_a: str, bits_a: str, cells_b: str, bits_b: str, first: str) -> str:
+    """The same for two sketches that are opened and made anew at 2^first cells a row, then twice that, and so on; null if one can't be opened."""
+    opened = [let("w", marks(bits), peeled(cells, "w")) for cells, bits in ((cells_a, bits_a), (cells_b, bits_b))]
+    found = let("w", marks("t"), peeled(minus(sketch("mine", "w"), sketch("other", "w")), "w"))
+    tries = f"aggregate(sequence({first}, {first} + {RETRIES}), cast(null as int), (d, t) -> if(d is not null, d, {let('y', found, 'if(y is null, null, size(y))')}))"
+    return let("mine", opened[0], f"if(mine is null, null, {let('other', opened[1], f'if(other is null, null, {tries})')})")
+
+
 def with_likeness(df: DataFrame, name: str, a: str, cells_a: str, b: str, cells_b: str) -> DataFrame:
     """Add the likeness of two columns of numbers of digests, given the columns of their sketches."""
-    df = df.withColumn("__bits", F.expr(f"cast(round(log2(least(size({cells_a}[0]), size({cells_b}[0])))) as int)"))
-    own = [folded(c, f"cast(round(log2(size({c}[0]))) as int)", "__bits") for c in (cells_a, cells_b)]
+    bits = [f"cast(round(log2(size({c}[0]))) as int)" for c in (cells_a, cells_b)]
+    df = df.withColumn("__bits", F.expr(f"least({bits[0]}, {bits[1]})"))
+    own = [folded(c, n, "__bits") for c, n in zip((cells_a, cells_b), bits)]
     df = df.withColumn("__minus", F.expr(minus(*own)))
     # in each row the squared deviations of the counts add up to the number of differing digests, but for the spread of tags and the mean
     even, cells = f"(({a} - {b}) / shiftleft(1, __bits))", "shiftleft(1, __bits)"
     squares = f"aggregate(flatten(__minus), 0D, (t, x) -> t + power(x.s / 6442450943D - {even}, 2D))"
     df = df.withColumn("__guess", F.expr(f"{squares} / {TABLE_ROWS}D / (28D / 27D - 1D / {cells})"))
-    first = f"cast(least(__bits, greatest({FIRST_BITS}, ceil(log2(greatest(1D, __guess) / {PEELED_PER_CELL}D)))) as int)"
+    df = df.withColumn("__first", F.expr(f"cast(ceil(log2(greatest(1D, __guess) / {PEELED_PER_CELL}D)) as int)"))
+    common = differing("__minus", f"least(__bits, greatest({FIRST_BITS}, __first))", "__bits")
+    larger = anew(cells_a, bits[0], cells_b, bits[1], "greatest(__bits + 1, __first)")
     guess = f"least({a} + {b}, greatest(abs({a} - {b}), cast(round(__guess) as int)))"
-    df = df.withColumn("__d", F.expr(f"coalesce({differing('__minus', first, '__bits')}, {guess})"))
+    df = df.withColumn("__d", F.expr(f"coalesce({common}, {larger}, {guess})"))
     total = F.col(a) + F.col(b)
-    return df.withColumn(name, F.when(total == 0, F.lit(1.0)).otherwise((total - F.col("__d")) / (total + F.col("__d")))).drop("__bits", "__minus", "__guess", "__d")
+    return df.withColumn(name, F.when(total == 0, F.lit(1.0)).otherwise((total - F.col("__d")) / (total + F.col("__d")))).drop("__bits", "__minus", "__guess", "__first", "__d")
 
 
 def digested(df: DataFrame, text: str, count: str, cells: str) -> DataFrame:
