@@ -102,7 +102,7 @@ def random_graph(spark, nodes, count, seed):
 
 
 def test_kernel_equals_joins(spark, kernel_off):
-    rows = etl.symmetrized(arcs(spark, random_graph(spark, 150, 170, 1)).filter("src <> dst"))
+    rows = etl.symmetrized(arcs(spark, random_graph(spark, 60, 100, 1)).filter("src <> dst"))
     fast, slow = Graph(rows), kernel_off(rows)
     assert sorted(map(tuple, pairs(fast).collect())) == sorted(map(tuple, pairs(slow).select("source", "node", "dist").collect()))
     columns = ["source", "dist", "cnt", "arcs"]
@@ -116,7 +116,7 @@ def test_distributed_search_in_many_sweeps(spark, kernel_off, monkeypatch):
     """Several sweeps, hubs over salts, and no pairs unless they are asked for."""
     from wayfare.operators import traversal
 
-    rows = arcs(spark, random_graph(spark, 150, 400, 11) + [(0, k) for k in range(1, 40)])  # directed, with loops and repeats
+    rows = arcs(spark, random_graph(spark, 90, 300, 11) + [(0, k) for k in range(1, 40)])  # directed, with loops and repeats
     rows = rows.distinct()
     fast = Graph(rows)
     want = {c: sorted(map(tuple, df.collect())) for c, df in (("h", histogram(fast).select("source", "dist", "cnt", "arcs")), ("p", pairs(fast)))}
@@ -125,7 +125,7 @@ def test_distributed_search_in_many_sweeps(spark, kernel_off, monkeypatch):
     for name, value in (("SWEEP_WORDS", 1), ("SWEEP", 64), ("HUB_ARCS", 3)):
         monkeypatch.setattr(traversal, name, value)
     slow = kernel_off(rows)
-    assert slow.spread()[1].count() > 10
+    assert slow.spread()[1].count() > 5
     assert sorted(map(tuple, pairs(slow).select("source", "node", "dist").collect())) == want["p"]
     monkeypatch.setattr(traversal, "frontier_pairs", None)
     assert sorted(map(tuple, histogram(slow).select("source", "dist", "cnt", "arcs").collect())) == want["h"]
@@ -192,7 +192,7 @@ def test_strong_components_are_named_alike(spark, kernel_off):
         got = {r["node"]: r["component"] for r in structure.strong_components(g).collect()}
         assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5, 6: 6}
     assert structure.strong_components(kernel_off(arcs(spark, []))).count() == 0
-    many = random_graph(spark, 80, 110, 16)
+    many = random_graph(spark, 30, 45, 16)
     both = [sorted(map(tuple, structure.strong_components(g).collect())) for g in (Graph(arcs(spark, many)), kernel_off(arcs(spark, many)))]
     assert both[0] == both[1]
 
