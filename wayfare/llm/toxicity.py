@@ -3,8 +3,8 @@
 Features are whole words (runs of letters, lower case, marked by a closing $) and their first three to eight letters. How many
 training texts of either label hold a word, summed over a feature's words, gives its log-odds, smoothed by a Dirichlet prior in
 proportion to its frequency in both. Those of at least MIN_ODDS that exceed Z standard deviations are listed, at most MAX_FEATURES of
-the surest. A token scores the log-odds of its longest listed feature, and all other tokens those of their common mass, which are
-negative. A linear scan finds all maximal segments of a text; every occurrence of a word scores alike, whatever stands elsewhere.
+the surest. A token scores the log-odds of its longest listed feature, and all other tokens those of their common share of all tokens,
+which are negative. A linear scan finds all maximal segments of a text; every occurrence of a word scores alike, whatever stands elsewhere.
 
 A segment of score s in a text of m tokens is expected K m exp(-decay s) times by chance. The decay is the positive root of
 E[exp(decay score)] = 1 over the tokens of clean training texts, K the maximum-likelihood value for those texts' best
@@ -55,30 +55,29 @@ def training_labels(labels: DataFrame) -> DataFrame:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word, t and c (how many texts of either label hold it) and n (how often it stands in clean ones). docs has text and toxic."""
+    """word, t and c (how many toxic and clean texts hold it), m and n (how often it stands in them). docs has text and toxic."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds, often = (Counter(), Counter()), Counter()
+        kinds, often = (Counter(), Counter()), (Counter(), Counter())
 
         def out():
             words = list(kinds[0].keys() | kinds[1].keys())
-            columns = [pa.array([k[w] for w in words], pa.int64()) for k in (kinds[1], kinds[0], often)]
-            for k in (*kinds, often):
+            columns = [pa.array([k[w] for w in words], pa.int64()) for k in (*kinds[::-1], *often[::-1])]
+            for k in (*kinds, *often):
                 k.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *columns], names=["word", "t", "c", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *columns], names=["word", "t", "c", "m", "n"])
 
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
                 own = Counter(WORDS.findall(text.as_py().lower()))
                 kinds[toxic > 0].update(own.keys())
-                if toxic <= 0:
-                    often.update(own)
+                often[toxic > 0].update(own)
             if len(kinds[0]) + len(kinds[1]) > 400_000:
                 yield out()
         yield out()
 
-    counted = docs.select("text", "toxic").mapInArrow(run, "word string, t long, c long, n long")
-    return counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in "tcn"])
+    counted = docs.select("text", "toxic").mapInArrow(run, "word string, t long, c long, m long, n long")
+    return counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in "tcmn"])
 
 
 def listed_features(words: DataFrame) -> dict[str, float]:
@@ -98,23 +97,23 @@ def listed_features(words: DataFrame) -> dict[str, float]:
     return {r["feature"]: r["odds"] for r in sure.orderBy(F.col("z").desc(), "feature").limit(MAX_FEATURES).collect()}
 
 
-def token_scores(words: DataFrame, listed: dict[str, float]) -> list[tuple[float | None, int, int, int]]:
-    """score (None: not listed) and the sums of t, c and n of the words that have it; no more rows than listed features and one."""
+def token_scores(words: DataFrame, listed: dict[str, float]) -> list[tuple[float | None, int, int]]:
+    """score (None: not listed) and the sums of m and n of the words that have it; no more rows than listed features and one."""
     model = words.sparkSession.sparkContext.broadcast(listed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(model.value, 0.0)
         for batch in batches:
             scores = pa.array([scanner.token(w) for w in batch.column(0).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([scores, *batch.columns[1:]], names=["score", "t", "c", "n"])
+            yield pa.RecordBatch.from_arrays([scores, *batch.columns[1:]], names=["score", "m", "n"])
 
-    rows = words.select("word", "t", "c", "n").mapInArrow(run, "score double, t long, c long, n long")
-    return [tuple(r) for r in rows.groupBy("score").agg(F.sum("t"), F.sum("c"), F.sum("n")).collect()]
+    rows = words.select("word", "m", "n").mapInArrow(run, "score double, m long, n long")
+    return [tuple(r) for r in rows.groupBy("score").agg(F.sum("m"), F.sum("n")).collect()]
 
 
 def other_score(scores: list[tuple]) -> float:
     """The log-odds of all tokens that aren't listed, taken together; below 0, as a scan needs."""
-    rest = next((r for r in scores if r[0] is None), (None, 0, 0, 0))
+    rest = next((r for r in scores if r[0] is None), (None, 0, 0))
     sums = [sum(r[k] for r in scores) for k in (1, 2)]
     if not all(sums):
         return -0.01
@@ -123,8 +122,8 @@ def other_score(scores: list[tuple]) -> float:
 
 def decay_factor(scores: list[tuple], other: float) -> float:
     """The positive root of E[exp(x score)] = 1 over clean tokens; 1 where no clean token has a listed feature (log-odds have the root 1)."""
-    total = sum(r[3] for r in scores)
-    own = [(r[0], r[3] / total) for r in scores if r[0] is not None and r[3]] if total else []
+    total = sum(r[2] for r in scores)
+    own = [(r[0], r[2] / total) for r in scores if r[0] is not None and r[2]] if total else []
     rest = 1 - sum(q for _, q in own)
 
     def excess(x: float) -> float:
