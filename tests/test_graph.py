@@ -160,8 +160,8 @@ def test_distances_are_metric(spark):
     assert all(d[a, c] <= k + m for (a, b), k in d.items() for (x, c), m in d.items() if x == b)
 
 
-def test_components(spark):
-    rows = random_graph(spark, 200, 150, 3) + [(500 + k, 501 + k) for k in range(60)]
+def test_components(spark, monkeypatch):
+    rows = random_graph(spark, 200, 150, 3) + [(500 + k, 501 + k) for k in range(40)] + [(700, 701 + k) for k in range(30)]
     part = {n: n for e in rows for n in e}
 
     def find(x):
@@ -174,6 +174,8 @@ def test_components(spark):
         part[max(x, y)] = min(x, y)
     got = {r["node"]: r["component"] for r in structure.components(Graph(arcs(spark, rows))).collect()}
     assert got == {n: find(n) for n in part}
+    monkeypatch.setattr(structure, "HUB_ROWS", 2)  # every node of some neighbours is a hub
+    assert {r["node"]: r["component"] for r in structure.components(Graph(arcs(spark, rows))).collect()} == got
 
 
 def test_strong_components(spark, kernel_off):

@@ -10,6 +10,8 @@ from wayfare.sources.shared import discard, settled
 
 #: Up to so many nodes strong components are told from pairs of nodes.
 PAIR_NODES = 3000
+#: Neighbours of a node that are joined in one task; those of a greater one are dealt to several.
+HUB_ROWS = 1_000_000
 
 
 def degrees(graph: Graph) -> DataFrame:
@@ -27,7 +29,7 @@ def spanned(edges: DataFrame) -> DataFrame:
         # every larger neighbour of a node is tied to the least of the node and its neighbours
         sides = at.select("a", "b").union(at.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = sides.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        large = sides.filter("b > a").join(low, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = _with_least(sides.filter("b > a"), low, size).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # a node and its smaller neighbours are tied to the least of them
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
         tied = F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
@@ -43,6 +45,18 @@ def spanned(edges: DataFrame) -> DataFrame:
     return at.select(F.col("a").alias("node"), F.col("b").alias("part")).union(roots)
 
 
+def _with_least(sides: DataFrame, low: DataFrame, size: int) -> DataFrame:
+    """sides (a, b) with m of low (n, m) where n is a; a hub's rows are dealt over salts. size: an upper bound of any node's rows."""
+    if size <= HUB_ROWS:
+        return sides.join(low, F.col("a") == F.col("n"))
+    hubs = sides.groupBy("a").count().filter(F.col("count") > HUB_ROWS)
+    # at most one hub for HUB_ROWS rows
+    hubs = settled(hubs.select(F.col("a").alias("hub"), F.ceil(F.col("count") / HUB_ROWS).cast("int").alias("salts")), "hubs")
+    dealt = sides.join(F.broadcast(hubs), F.col("a") == F.col("hub"), "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int")).select("a", "b", "salt")
+    spread = low.join(F.broadcast(hubs), F.col("n") == F.col("hub"), "left").select("n", "m", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("of"))
+    return dealt.join(spread, (F.col("a") == F.col("n")) & (F.col("salt") == F.col("of")))
+
+
 def components(graph: Graph) -> DataFrame:
     """node and component, the least node that arcs join it to in either direction."""
     parts = spanned(graph.arcs.select(F.col("src").alias("a"), F.col("dst").alias("b")))
