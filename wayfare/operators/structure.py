@@ -78,6 +78,7 @@ def strong_components(graph: Graph) -> DataFrame:
 
 def _colored(graph: Graph) -> DataFrame:
     """Forward colours (the greatest node that reaches a node), then backward from each colour's own node; what is found leaves, and again."""
+    graph.hold()
     left, arcs = settled(graph.vertices.select(F.col("id").alias("node")), "left"), settled(graph.arcs, "arcs")
     found = None
     while not left.isEmpty():

@@ -36,16 +36,27 @@ class Graph:
         self.spark = arcs.sparkSession
         self.arcs = arcs.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint"))
         found = vertices_of(self.arcs)
-        self.vertices = found if vertices is None else found.union(vertices.select(F.col("id").cast("bigint"))).distinct()
+        self._held, self._more = False, None if vertices is None else vertices.select(F.col("id").cast("bigint"))
+        self.vertices = found if self._more is None else found.union(self._more).distinct()
         self.kernel_arcs, self._arrays, self._nodes, self._spread = kernel_arcs, None, None, None
 
+    def hold(self) -> None:
+        """Write arcs and vertices once, so that what they are derived from isn't read again by each step."""
+        if not self._held:
+            self._held = True
+            arcs = settled(self.arcs, "arcs")
+            found = vertices_of(arcs)
+            self.arcs, self.vertices = arcs, settled(found if self._more is None else found.union(self._more).distinct(), "vertices")
+
     def node_count(self) -> int:
+        self.hold()
         if self._nodes is None:
             self._nodes = self.vertices.count()
         return self._nodes
 
     def arrays(self):
         """A broadcast of (ids, sources of arcs by target, first arcs of targets, targets, out-degrees), or None if the graph is too large."""
+        self.hold()
         if self._arrays is None:
             if self.arcs.count() > self.kernel_arcs or self.node_count() > self.kernel_arcs:
                 self._arrays = False
@@ -64,6 +75,7 @@ class Graph:
 
     def spread(self) -> tuple[DataFrame, DataFrame]:
         """Arcs (node, __salt, __to, __degree of __to) and nodes with more than HUB_ARCS out-arcs (node, __salts), over whose salts their arcs are dealt."""
+        self.hold()
         if self._spread is None:
             degree = settled(self.arcs.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("__degree")), "degrees")
             hubs = settled(degree.filter(F.col("__degree") > HUB_ARCS).select("node", F.ceil(F.col("__degree") / HUB_ARCS).cast("int").alias("__salts")), "hubs")
@@ -120,14 +132,40 @@ def _kernel(graph: Graph, sources: DataFrame, run: Callable, schema: str) -> Dat
     return spread.mapInArrow(over, schema)
 
 
-def tallies(bits: np.ndarray, count: int, degree: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each source how many nodes have its bit, and the sum of their degrees."""
-    total = np.zeros((2, count))
+def ones(rows: np.ndarray) -> np.ndarray:
+    """Column sums of zeros and ones. 255 rows at a time can't overflow a byte."""
+    whole = len(rows) // 255 * 255
+    stretches = np.add.reduce(rows[:whole].reshape(-1, 255, rows.shape[1]), axis=1, dtype=np.uint8)
+    return stretches.sum(0, dtype=np.int64) + rows[whole:].sum(0, dtype=np.uint8)
+
+
+def tallies(bits: np.ndarray, count: int, degree: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each source how many nodes have its bit, and the sum of their degrees, taken bit by bit of these."""
+    total, arcs = np.zeros(count, np.int64), np.zeros(count, np.int64)
     some = np.flatnonzero(bits.any(1))
-    for at in range(0, len(some), 4096):
-        rows = some[at : at + 4096]
-        total += np.vstack([np.ones(len(rows)), degree[rows]]) @ unpacked(bits[rows], count).astype(np.float64)
-    return total[0].astype(np.int64), total[1].astype(np.int64)
+    for at in range(0, len(some), 1 << 15):
+        rows = some[at : at + (1 << 15)]
+        own = unpacked(bits[rows], count)
+        total += ones(own)
+        if degree is not None:
+            d = degree[rows].astype(np.int64)
+            for j in range(int(d.max()).bit_length()):
+                arcs += ones(own[d >> j & 1 == 1]) << j
+    return total, arcs
+
+
+_BITS_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
+
+
+def weighed(bits: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """For each node the sum of the weights of the sources whose bits it has, looked up byte by byte."""
+    bytes_ = bits.view(np.uint8)
+    padded = np.zeros(8 * bytes_.shape[1])
+    padded[: len(weight)] = weight
+    out = np.zeros(len(bits))
+    for k in range(-(-len(weight) // 8)):
+        out += (_BITS_OF @ padded[8 * k : 8 * k + 8])[bytes_[:, k]]
+    return out
 
 
 def swept(graph: Graph, sources: DataFrame) -> Iterator[tuple[np.ndarray, int, DataFrame]]:
@@ -199,6 +237,7 @@ def _united(parts: list[DataFrame], total: Callable[[DataFrame], DataFrame]) ->
 
 def pairs(graph: Graph, sources: DataFrame | None = None) -> DataFrame:
     """source, node, dist for every reached node, each source at 0 of itself. As many rows as pairs: for small graphs and few sources."""
+    graph.hold()
     sources = graph.vertices if sources is None else sources
     if graph.arrays() is None:
         return frontier_pairs(graph, sources)
@@ -236,6 +275,7 @@ def _levels_of(graph: Graph, sources: DataFrame) -> DataFrame:
 
 def histogram(graph: Graph, sources: DataFrame | None = None) -> DataFrame:
     """source, dist, cnt and arcs (out-arcs of the nodes there): all that the measures need."""
+    graph.hold()
     sources = graph.vertices if sources is None else sources
     if graph.arrays() is None:
         return _levels_of(graph, sources)
@@ -261,9 +301,9 @@ def sums_and_farness(graph: Graph, sources: DataFrame) -> DataFrame:
             return _far_and_sums_by_join(graph, sources)
 
         def fold(ids, dist, batch):
-            bits, nodes = unpacked(words_of(batch), len(ids)), batch.column(0).to_numpy()
-            sums = dist * (bits @ np.array([weights[i] for i in ids.tolist()]))
-            return np.repeat([False, True], [len(nodes), len(ids)]), np.concatenate([nodes, ids]), np.concatenate([sums, dist * bits.sum(0, dtype=np.float64)])
+            bits, nodes = words_of(batch), batch.column(0).to_numpy()
+            sums = dist * weighed(bits, np.array([weights[i] for i in ids.tolist()]))
+            return np.repeat([False, True], [len(nodes), len(ids)]), np.concatenate([nodes, ids]), np.concatenate([sums, dist * tallies(bits, len(ids))[0].astype(np.float64)])
 
         return folded(graph, sources, fold, schema, total)
 
@@ -273,11 +313,8 @@ def sums_and_farness(graph: Graph, sources: DataFrame) -> DataFrame:
         for dist, bits in levels(arrays, block):
             some = np.flatnonzero(bits.any(1))
             hit[some] = True
-            for at in range(0, len(some), 4096):
-                rows = some[at : at + 4096]
-                own = unpacked(bits[rows], len(block)).astype(np.float64)
-                sums[rows] += dist * (own @ weight)
-                far += dist * own.sum(0)
+            sums[some] += dist * weighed(bits[some], weight)
+            far += dist * tallies(bits, len(block))[0]
         yield np.zeros(int(hit.sum()), bool), ids[hit], sums[hit]
         yield np.ones(len(block), bool), block, far
 
