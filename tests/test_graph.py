@@ -330,3 +330,50 @@ def test_inversions(spark):
     rows = spark.createDataFrame([(1, 5.0), (2, 4.0), (3, 4.5), (4, 1.0)], "rank long, v double")
     assert ranking.inversions(rows, ["rank"], "v").first()[0] == 1
     assert ranking.precision_at_k(arcs(spark, [(1, 0), (2, 0)]).toDF("node", "x"), arcs(spark, [(2, 0), (3, 0)]).toDF("node", "x"), 2).first()["precision"] == 0.5
+
+
+def test_searches_from_files_equal_the_broadcast_and_the_joins(spark, kernel_off, monkeypatch):
+    """Beyond the broadcast tasks read the graph from the shared folder; beyond what a task can hold, joins."""
+    from wayfare.operators import traversal
+
+    rows = arcs(spark, random_graph(spark, 90, 200, 17) + [(0, k) for k in range(1, 40)]).distinct()  # directed, with loops
+    found = []
+    for files_too, g in ((True, Graph(rows)), (True, kernel_off(rows)), (False, kernel_off(rows))):
+        with monkeypatch.context() as m:
+            m.setattr(traversal, *(("swept", None) if files_too else ("FILE_ARCS", -1)))
+            weights = g.vertices.select("id", (F.col("id") % 5 + 0.5).alias("weight"))
+            tables = (pairs(g).select("source", "node", "dist"), histogram(g).select("source", "dist", "cnt", "arcs"), histogram(g, arcs=False).select("source", "dist", "cnt"), traversal.sums_and_farness(g, weights).select("far", "node", "value"))
+            found.append([sorted(map(tuple, t.collect())) for t in tables])
+    assert found[0][:3] == found[1][:3] == found[2][:3]
+    for other in found[1:]:
+        assert [x[:2] for x in other[3]] == [x[:2] for x in found[0][3]] and [x[2] for x in other[3]] == pytest.approx([x[2] for x in found[0][3]])
+
+
+@pytest.mark.parametrize("symmetric", [True, False])
+def test_levels_with_hubs(monkeypatch, symmetric):
+    """Against plain searches, with hubs, many groups of nodes and sources of several words."""
+    import numpy as np
+
+    from wayfare.operators import traversal
+
+    monkeypatch.setattr(traversal, "HUB", 5)
+    monkeypatch.setattr(traversal, "ROWS", 7)
+    some = {x for x in random_graph(None, 150, 220, 23)} | {(3, k) for k in range(60, 110)} | {(k, 7) for k in range(20, 60)}
+    some |= {(b, a) for a, b in some} if symmetric else set()
+    ids = np.array(sorted({10 * x for arc in some for x in arc}))
+    src, dst = (np.searchsorted(ids, 10 * np.array([arc[k] for arc in some])) for k in range(2))
+    arrays = traversal.sorted_arrays(ids, src, dst)
+    assert (arrays[3] is None) == symmetric
+    after = {}
+    for a, b in some:
+        after.setdefault(10 * a, []).append(10 * b)
+    want = set()
+    for s in ids.tolist():
+        seen, now, dist = {s}, [s], 0
+        while now:
+            want |= {(s, x, dist) for x in now}
+            now = list({y for x in now for y in after.get(x, [])} - seen)
+            seen |= set(now)
+            dist += 1
+    got = [(int(ids[s]), int(ids[front[k]]), dist) for dist, front, bits in traversal.levels(arrays, ids) for k, s in zip(*np.nonzero(traversal.unpacked(bits, len(ids))))]
+    assert len(got) == len(want) and set(got) == want
