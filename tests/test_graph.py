@@ -377,3 +377,22 @@ def test_levels_with_hubs(monkeypatch, symmetric):
             dist += 1
     got = [(int(ids[s]), int(ids[front[k]]), dist) for dist, front, bits in traversal.levels(arrays, ids) for k, s in zip(*np.nonzero(traversal.unpacked(bits, len(ids))))]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_progressive_stretches(spark, monkeypatch):
+    """The last snapshot needs a few steps, not some for every batch; batch by batch, stretch by stretch and by joins the states are the same."""
+    from wayfare.operators import traversal
+    from wayfare.streaming import progressive
+
+    g = undirected(spark, [x for x in random_graph(spark, 25, 30, 31) if x[0] != x[1]])
+    rows = lambda df: sorted(map(tuple, df.select("processed_count", "rank", "node").collect()))
+    every, written, plain = rows(all_snapshots(g, 4)), [], progressive.settled
+    n = g.node_count()
+    with monkeypatch.context() as m:
+        m.setattr(progressive, "settled", lambda df, label: written.append(label) or plain(df, label))
+        assert rows(snapshot(g, None, 4)) == [x for x in every if x[0] == n]
+        assert len(written) == 2  # the first order and the last
+        m.setattr(progressive, "STRETCH", 2)
+        assert rows(snapshot(g, 3, 4)) == [x for x in every if x[0] == 12]
+    monkeypatch.setattr(traversal.Graph, "reader", lambda self: None)
+    assert rows(snapshot(g, 2, 4)) == [x for x in every if x[0] == 8]
