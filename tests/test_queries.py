@@ -52,7 +52,7 @@ def test_query_equals_sql(spark, name):
     assert sorted(map(tuple, got.select(columns).collect()), key=str) == sorted((tuple(r[k] for k in order) for r in want.fetchall()), key=str)
 
 
-@pytest.mark.parametrize("name", ["level_histogram_distributed", "farness", "threshold_topk", "ground_truth_array_roundtrip", "estimate_error", "precision_at_k", "bfs_accounting"])
+@pytest.mark.parametrize("name", ["level_histogram_distributed", "farness", "threshold_topk", "ground_truth_array_roundtrip", "estimate_error", "precision_at_k", "bfs_accounting", "bfs_frontier"])
 def test_query_beyond_the_broadcast_needs_no_sweeps(spark, monkeypatch, name):
     """As on graphs that are too large for a broadcast: no sweep of a few sources after the other, with a join for each of its levels."""
     from wayfare.operators import traversal
