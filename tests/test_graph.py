@@ -396,3 +396,44 @@ def test_progressive_stretches(spark, monkeypatch):
         assert rows(snapshot(g, 3, 4)) == [x for x in every if x[0] == 12]
     monkeypatch.setattr(traversal.Graph, "reader", lambda self: None)
     assert rows(snapshot(g, 2, 4)) == [x for x in every if x[0] == 8]
+
+
+@pytest.mark.parametrize("symmetric", [True, False])
+def test_first_steps_gather_no_arcs(monkeypatch, symmetric):
+    """Two steps from each source are followed source by source where that is less work; the levels and their sizes stay those of plain searches."""
+    import numpy as np
+
+    from wayfare.operators import traversal
+
+    some = {x for x in random_graph(None, 300, 420, 29)} | {(5, k) for k in range(40, 90)}
+    some |= {(b, a) for a, b in some} if symmetric else set()
+    ids = np.array(sorted({x for arc in some for x in arc}))
+    src, dst = (np.searchsorted(ids, np.array([arc[k] for arc in some])) for k in range(2))
+    arrays, found, plain = traversal.sorted_arrays(ids, src, dst), [], traversal._gathered
+    for cost in (0, 10**9):
+        gathers, shots = [], []
+        with monkeypatch.context() as m:
+            m.setattr(traversal, "ROWS", 1 << 20)
+            m.setattr(traversal, "PAIR_COST", cost, raising=False)
+            m.setattr(traversal, "_gathered", lambda *a: gathers.append(1) or plain(*a))
+            for dist, front, bits in traversal.levels(arrays, ids[::2]):
+                own = traversal.unpacked(bits, len(ids[::2]))
+                degree = arrays[5][front]
+                count, out = traversal.tallies(bits, own.shape[1], degree)
+                assert np.array_equal(count, own.sum(0, dtype=np.int64)) and np.array_equal(out, degree @ own.astype(np.int64))
+                shots.append((dist, front.tolist(), own.tolist()))
+                assert len(gathers) == (max(0, dist - 2) if cost == 0 else dist)
+        found.append(shots)
+    assert found[0] == found[1] and len(found[0]) > 4
+
+
+def test_arcs_beyond_the_broadcast_are_written_once(spark, kernel_off, monkeypatch):
+    """Tasks sort the arcs that they read; no table of places and no second, sorted one is written. Symmetric arcs are derived in one reading."""
+    from wayfare.operators import traversal
+
+    written, plain = [], traversal.settled
+    monkeypatch.setattr(traversal, "settled", lambda df, label: written.append(label) or plain(df, label))
+    rows = arcs(spark, [x for x in random_graph(spark, 60, 90, 37) if x[0] != x[1]])
+    g = kernel_off(etl.symmetrized(rows))
+    assert {r["node"]: r["farness"] for r in measures(histogram(g)).collect()} == {k: v[0] for k, v in scores(g).items()}
+    assert written == ["arcs", "vertices"]
