@@ -437,3 +437,19 @@ def test_arcs_beyond_the_broadcast_are_written_once(spark, kernel_off, monkeypat
     g = kernel_off(etl.symmetrized(rows))
     assert {r["node"]: r["farness"] for r in measures(histogram(g)).collect()} == {k: v[0] for k, v in scores(g).items()}
     assert written == ["arcs", "vertices"]
+
+
+def test_components_in_one_task(spark, kernel_off, monkeypatch):
+    """Graphs that a task can hold need no stars, and are labelled as by stars: arcs one way, long paths against the order of ids, hubs, isolated nodes."""
+    from wayfare.operators import traversal
+
+    rows = random_graph(spark, 200, 150, 29) + [(900 - k, 899 - k) for k in range(120)] + [(1000 + (k * 37) % 101, 1000 + ((k + 1) * 37) % 101) for k in range(100)]
+    rows += [(2000 + k, 2999) for k in range(40)] + [(3000, 3000)]
+    more = spark.range(4000, 4003)
+    with monkeypatch.context() as m:
+        m.setattr(traversal, "FILE_ARCS", -1)
+        want = sorted(map(tuple, structure.components(kernel_off(arcs(spark, rows).distinct(), more)).collect()))
+    monkeypatch.setattr(structure, "spanned", None)
+    for g in (Graph(arcs(spark, rows).distinct(), more), kernel_off(arcs(spark, rows).distinct(), more)):
+        assert sorted(map(tuple, structure.components(g).collect())) == want
+    assert {(4001, 4001), (3000, 3000), (2999, 2000), (900, 780), (1100, 1000)} <= set(want)
