@@ -453,3 +453,20 @@ def test_components_in_one_task(spark, kernel_off, monkeypatch):
     for g in (Graph(arcs(spark, rows).distinct(), more), kernel_off(arcs(spark, rows).distinct(), more)):
         assert sorted(map(tuple, structure.components(g).collect())) == want
     assert {(4001, 4001), (3000, 3000), (2999, 2000), (900, 780), (1100, 1000)} <= set(want)
+
+
+def test_schedules_followed_on_the_driver(spark, monkeypatch):
+    """Small schedules need no table for each stretch, and give the same stretches as the tables."""
+    from wayfare.plans import threshold
+
+    g = undirected(spark, [x for x in random_graph(spark, 60, 110, 31) if x[0] != x[1]])
+    made = estimate(g, eps=2.0)
+    schedule = threshold.bounded_schedule(g, made, 2.0)
+
+    def stretches(searched):
+        return [(x.done, x.fresh, x.enough, x.all_known, sorted(map(tuple, x.known().collect()))) for x in searched(g, made, schedule, 16)]
+
+    want = stretches(threshold._searched_apart)
+    assert len(want) > 1 and want[-1][1] > 0
+    monkeypatch.setattr(threshold, "settled", None)
+    assert stretches(threshold._searched) == want
