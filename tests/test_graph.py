@@ -470,3 +470,14 @@ def test_schedules_followed_on_the_driver(spark, monkeypatch):
     assert len(want) > 1 and want[-1][1] > 0
     monkeypatch.setattr(threshold, "settled", None)
     assert stretches(threshold._searched) == want
+
+
+
+def test_the_estimate_derives_the_graph_once(spark):
+    """The first sources are drawn from the written nodes, not from what the graph is derived from."""
+    from wayfare.plans.estimation import first_sources
+
+    g = undirected(spark, [(k, k + 1) for k in range(20)])
+    first = first_sources(g, F.col("node"))
+    assert first.inputFiles() and all("/vertices-" in f for f in first.inputFiles())
+    assert [r["id"] for r in first.collect()] == [0, 1, 2, 3]
