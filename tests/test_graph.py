@@ -481,3 +481,13 @@ def test_the_estimate_derives_the_graph_once(spark):
     first = first_sources(g, F.col("node"))
     assert first.inputFiles() and all("/vertices-" in f for f in first.inputFiles())
     assert [r["id"] for r in first.collect()] == [0, 1, 2, 3]
+
+
+
+def test_frontier_pairs_derive_the_graph_once(spark, kernel_off):
+    from wayfare.operators.traversal import frontier_pairs
+
+    g = kernel_off(etl.symmetrized(arcs(spark, [(k, k + 1) for k in range(20)])))
+    found = frontier_pairs(g)
+    assert found.inputFiles() and all("/vertices-" in f for f in found.inputFiles())
+    assert sorted(map(tuple, found.collect())) == [(a, b, abs(a - b)) for a in range(21) for b in range(21)]

@@ -427,8 +427,10 @@ def _kernel_pairs(graph: Graph, sources: DataFrame) -> DataFrame:
     return _kernel(graph, sources.select("id"), run, "source long, node long, dist int")
 
 
-def frontier_pairs(graph: Graph, sources: DataFrame) -> DataFrame:
+def frontier_pairs(graph: Graph, sources: DataFrame | None = None) -> DataFrame:
     """The same for a distributed graph, made by tasks as it is read where they can hold the graph."""
+    graph.hold()
+    sources = graph.vertices if sources is None else sources
     if graph.files() is not None:
         return _kernel_pairs(graph, sources)
 

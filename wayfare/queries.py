@@ -188,7 +188,7 @@ def bfs_pairs(spark, sf_dir):
 @query(f"{bfs_sql('user_next')} SELECT s AS source, n AS node, d::INTEGER AS dist FROM bfs")
 def bfs_frontier(spark, sf_dir):
     graph = Graph(graph_of(spark, sf_dir, "user_next").arcs, kernel_arcs=-1)
-    return frontier_pairs(graph, graph.vertices)
+    return frontier_pairs(graph)
 
 
 @query(f"{bfs_sql('user_next', True)} SELECT s AS source, d::INTEGER AS dist, count(*)::BIGINT AS cnt FROM bfs GROUP BY ALL")
