@@ -491,3 +491,15 @@ def test_frontier_pairs_derive_the_graph_once(spark, kernel_off):
     found = frontier_pairs(g)
     assert found.inputFiles() and all("/vertices-" in f for f in found.inputFiles())
     assert sorted(map(tuple, found.collect())) == [(a, b, abs(a - b)) for a in range(21) for b in range(21)]
+
+
+
+def test_arrays_are_sorted_as_one_number_an_arc(monkeypatch):
+    import numpy as np
+
+    from wayfare.operators import traversal
+
+    monkeypatch.setattr(np, "lexsort", None)
+    ids, src, dst = np.array([5, 7, 9]), np.array([2, 0, 1, 0]), np.array([0, 2, 0, 1])
+    got = traversal.sorted_arrays(ids, src, dst)
+    assert [x.tolist() for x in got[1:3]] == [[0, 2, 3, 4], [1, 2, 0, 0]] and got[3] is None and got[5].tolist() == [2, 1, 1]
