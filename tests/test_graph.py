@@ -472,7 +472,6 @@ def test_schedules_followed_on_the_driver(spark, monkeypatch):
     assert stretches(threshold._searched) == want
 
 
-
 def test_the_estimate_derives_the_graph_once(spark):
     """The first sources are drawn from the written nodes, not from what the graph is derived from."""
     from wayfare.plans.estimation import first_sources
@@ -483,7 +482,6 @@ def test_the_estimate_derives_the_graph_once(spark):
     assert [r["id"] for r in first.collect()] == [0, 1, 2, 3]
 
 
-
 def test_frontier_pairs_derive_the_graph_once(spark, kernel_off):
     from wayfare.operators.traversal import frontier_pairs
 
@@ -493,6 +491,16 @@ def test_frontier_pairs_derive_the_graph_once(spark, kernel_off):
     assert sorted(map(tuple, found.collect())) == [(a, b, abs(a - b)) for a in range(21) for b in range(21)]
 
 
+def test_searches_come_in_whole_rounds_of_tasks(spark, monkeypatch):
+    from wayfare.operators import traversal
+
+    monkeypatch.setattr(traversal, "WORDS", 1)
+    slots = spark.sparkContext.defaultParallelism
+    g = undirected(spark, [(k, k + 1) for k in range(64 * 2 * slots)])  # one node more than fills two rounds
+    found = histogram(g, arcs=False)
+    assert found.rdd.getNumPartitions() == 3 * slots
+    assert found.agg(F.sum("cnt")).first()[0] == (128 * slots + 1) ** 2
+
 
 def test_arrays_are_sorted_as_one_number_an_arc(monkeypatch):
     import numpy as np
