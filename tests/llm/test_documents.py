@@ -194,6 +194,19 @@ def test_sketches_are_peeled_and_retried(spark):
     assert both.filter(F.expr(f"{fingerprints.folded('x', '6', '4')} = y")).count() == len(sets)
 
 
+def test_unlike_fingerprints_are_opened_and_not_sketched_anew(spark, monkeypatch):
+    rng = random.Random(3)
+    draw = lambda n: [(rng.getrandbits(63) | fingerprints.ODD) & ~fingerprints.SECOND for _ in range(n)]
+    sets = [(a, a[:common] + draw(n)) for m, n, common in ((0, 40, 0), (300, 20, 0), (300, 300, 5), (40, 700, 40)) for a in [draw(m)]]
+    df = spark.createDataFrame([(*s, *map(len, s)) for s in sets], "a array<long>, b array<long>, m int, n int")
+    for c in "ab":
+        bits = f"cast(greatest({fingerprints.FIRST_BITS}, ceil(log2(greatest(1, size({c}))))) as int)"
+        df = df.withColumn("bits", F.expr(bits)).withColumn(f"cells_{c}", sketched(c))
+    monkeypatch.setattr(fingerprints, "sketch", None)
+    for r in fingerprints.with_likeness(df, "near", "m", "cells_a", "n", "cells_b").collect():
+        assert r["near"] == pytest.approx(len({*r["a"]} & {*r["b"]}) / len({*r["a"]} | {*r["b"]}))
+
+
 def maximal_segments(values, first=0):
     """By their definition: the highest-scoring stretch, and the same to its left and right."""
     stretches = [(sum(values[a:b]), a, b) for a in range(len(values)) for b in range(a + 1, len(values) + 1)]

@@ -10,8 +10,8 @@ has a cell a row for PER_CELL of them, sixteen at least; there is no largest one
 Two fingerprints are compared by what they hold and nothing else. Cells of neighbours add up to those of a smaller sketch, so both
 are brought to the smaller one's size and subtracted cell by cell; cells of single digests are peeled until nothing is left, which recovers the
 digests in which the texts differ. Peeling begins at a size that the difference's counts suggest; where it fails it is tried again at twice the
-size, up to the common one. Beyond that both fingerprints are opened (each peeled to its own digests), and the digests are sketched anew at twice the
-size, and again, until the difference peels. Only if a fingerprint can't be opened, as two of its digests share their cells in all rows, the
+size, up to the common one. Beyond that both fingerprints are opened (each peeled to its own digests), and the digests that only one of them
+holds are counted. Only if a fingerprint can't be opened, as two of its digests share their cells in all rows, the
 difference is estimated by the counts' squared deviations, between the bounds that the numbers of digests give. Likeness is the
 Jaccard similarity of the two sets of digests, from their sizes and the number of differing digests; two empty sets are alike.
 
@@ -34,8 +34,6 @@ from .common import table, text_or_empty
 ROWS_PER_RANGE = 2000
 MAX_RANGES = 1 << 16
 ROUNDS = 24
-#: Doublings of a size that is tried again; sixteen cells a row grow to a million.
-RETRIES = 16
 FIRST_BITS = 4
 TABLE_ROWS = 3
 #: Differing digests for each cell of a row that a sketch is made for, and at which peeling begins.
@@ -122,12 +120,11 @@ def differing(cells: str, first: str, bits: str) -> str:
     return f"aggregate(sequence({first}, {bits}), cast(null as int), (d, t) -> if(d is not null, d, {let('y', found, 'if(y is null, null, size(y))')}))"
 
 
-def anew(cells_a: str, bits_a: str, cells_b: str, bits_b: str, first: str) -> str:
-    """The same for two sketches that are opened and made anew at 2^first cells a row, then twice that, and so on; null if one can't be opened."""
+def apart(cells_a: str, bits_a: str, cells_b: str, bits_b: str) -> str:
+    """The same for two sketches that are opened, each at its own size, and compared by the digests they hold; null if one can't be opened."""
     opened = [let("w", marks(bits), peeled(cells, "w")) for cells, bits in ((cells_a, bits_a), (cells_b, bits_b))]
-    found = let("w", marks("t"), peeled(minus(sketch("mine", "w"), sketch("other", "w")), "w"))
-    tries = f"aggregate(sequence({first}, {first} + {RETRIES}), cast(null as int), (d, t) -> if(d is not null, d, {let('y', found, 'if(y is null, null, size(y))')}))"
-    return let("mine", opened[0], f"if(mine is null, null, {let('other', opened[1], f'if(other is null, null, {tries})')})")
+    unshared = "size(mine) + size(other) - 2 * size(array_intersect(mine, other))"
+    return let("mine", opened[0], f"if(mine is null, null, {let('other', opened[1], f'if(other is null, null, {unshared})')})")
 
 
 def with_likeness(df: DataFrame, name: str, a: str, cells_a: str, b: str, cells_b: str) -> DataFrame:
@@ -142,7 +139,7 @@ def with_likeness(df: DataFrame, name: str, a: str, cells_a: str, b: str, cells_
     df = df.withColumn("__guess", F.expr(f"{squares} / {TABLE_ROWS}D / (28D / 27D - 1D / {cells})"))
     df = df.withColumn("__first", F.expr(f"cast(ceil(log2(greatest(1D, __guess) / {PEELED_PER_CELL}D)) as int)"))
     common = differing("__minus", f"least(__bits, greatest({FIRST_BITS}, __first))", "__bits")
-    larger = anew(cells_a, bits[0], cells_b, bits[1], "greatest(__bits + 1, __first)")
+    larger = apart(cells_a, bits[0], cells_b, bits[1])
     guess = f"least({a} + {b}, greatest(abs({a} - {b}), cast(round(__guess) as int)))"
     df = df.withColumn("__d", F.expr(f"coalesce({common}, {larger}, {guess})"))
     total = F.col(a) + F.col(b)
