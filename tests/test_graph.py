@@ -427,6 +427,38 @@ def test_first_steps_gather_no_arcs(monkeypatch, symmetric):
     assert found[0] == found[1] and len(found[0]) > 4
 
 
+def test_first_steps_of_sparse_graphs_are_gathered():
+    """Where few arcs meet many nodes, nodes aren't marked for each source apart."""
+    import numpy as np
+
+    from wayfare.operators import traversal
+
+    ids, ring = np.arange(5000), np.arange(5000)
+    sparse, dense = (traversal.sorted_arrays(ids, np.concatenate([ring] * k + [(ring + j) % 5000 for j in range(1, k + 1)]), np.concatenate([(ring + j) % 5000 for j in range(1, k + 1)] + [ring] * k)) for k in (1, 40))
+    assert not list(traversal._near(sparse[1], sparse[2], ids[:2048], 32))
+    assert len(list(traversal._near(dense[1], dense[2], ids[:64], 1))) > 0
+    front = {dist: sorted(places.tolist()) for dist, places, _ in traversal.levels(sparse, ids[:10])}
+    assert front[3] == sorted({(k + d) % 5000 for k in range(10) for d in (-3, 3)}) and max(front) == 2500
+
+
+def test_symmetrized_arcs_are_exchanged_one_way(spark):
+    rows = [(1, 2), (2, 1), (3, 3), (3, 3), (4, 1), (None, 5), (5, None), (None, None)]
+    both = etl.symmetrized(spark.createDataFrame(rows, "src long, dst long"))
+    assert sorted(map(tuple, both.collect()), key=str) == sorted({*rows, (1, 4)}, key=str)
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")
+
+
+def test_small_tables_are_numbered_without_ranges(spark, monkeypatch):
+    written, plain = [], etl.settled
+    monkeypatch.setattr(etl, "settled", lambda df, label: written.append(label) or plain(df, label))
+    assert [tuple(r) for r in etl.numbered(spark.range(40), [F.desc("id")], "n").orderBy("id").collect()] == [(k, 39 - k) for k in range(40)]
+    assert written == ["unranged"]
+    monkeypatch.setattr(etl, "RANGE_ROWS", 7)
+    assert [tuple(r) for r in etl.numbered(spark.range(40), [F.desc("id")], "n").orderBy("id").collect()] == [(k, 39 - k) for k in range(40)]
+    assert written[1:] == ["unranged", "ranged"]
+
+
 def test_arcs_beyond_the_broadcast_are_written_once(spark, kernel_off, monkeypatch):
     """Tasks sort the arcs that they read; no table of places and no second, sorted one is written. Symmetric arcs are derived in one reading."""
     from wayfare.operators import traversal

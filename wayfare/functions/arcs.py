@@ -41,9 +41,12 @@ def duplicates(lines: DataFrame, value: str = "value") -> DataFrame:
 
 
 def symmetrized(arcs: DataFrame) -> DataFrame:
-    """The union with the transpose, in one reading of the arcs. Self-loops stay, once."""
-    both = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return arcs.select(F.explode(both).alias("e")).select("e.*").distinct()
+    """The union with the transpose, in one reading of the arcs; both ways of an arc are exchanged as one. Self-loops stay, once."""
+    turn = F.coalesce(F.col("src") > F.col("dst"), F.col("src").isNull())
+    one = arcs.select(F.when(turn, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(turn, F.col("src")).otherwise(F.col("dst")).alias("dst")).distinct()
+    there, back = F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    both = F.when(F.col("src").eqNullSafe(F.col("dst")), F.array(there)).otherwise(F.array(there, back))
+    return one.select(F.explode(both).alias("e")).select("e.*")
 
 
 def transposed(arcs: DataFrame) -> DataFrame:
@@ -51,7 +54,7 @@ def transposed(arcs: DataFrame) -> DataFrame:
 
 
 def vertices_of(arcs: DataFrame) -> DataFrame:
-    return arcs.select(F.col("src").alias("id")).union(arcs.select(F.col("dst").alias("id"))).distinct()
+    return arcs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
 
 
 def in_ranges(df: DataFrame, order: list[Column | str]) -> tuple[DataFrame, DataFrame]:
@@ -74,7 +77,12 @@ def in_ranges(df: DataFrame, order: list[Column | str]) -> tuple[DataFrame, Data
 
 def numbered(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
     """df with its rank from 0 in the given order, without sorting all rows in one task: ranges are ranked apart and shifted by the sizes of those before."""
-    ranged, firsts = in_ranges(df, order)
+    held = df if hasattr(df, "settled_path") else settled(df, "unranged")
+    if held.count() <= RANGE_ROWS:  # one range
+        return held.withColumn(name, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1).cast("bigint"))
+    ranged, firsts = in_ranges(held, order)
+    if held is not df:
+        discard(held)
     return ranged.join(F.broadcast(firsts), "__range_no").select(*df.columns, (F.col("__range_first") + F.col("__range_own")).alias(name))
 
 

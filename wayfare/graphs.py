@@ -49,4 +49,4 @@ def arcs_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def graph_of(spark: SparkSession, sf_dir: str, name: str, directed: bool = False) -> Graph:
     arcs = arcs_of(spark, sf_dir, name)
-    return Graph(arcs.distinct() if directed else symmetrized(arcs.filter("src <> dst")))
+    return Graph(arcs.distinct() if directed else symmetrized(arcs.filter("src <> dst")), symmetric=not directed)

@@ -35,8 +35,8 @@ CHUNK = 1 << 20
 #: Nodes that gather the bits of their arcs together, arc by arc; nodes with more than HUB arcs do so on their own.
 ROWS = 4096
 HUB = 256
-#: An arc followed for one source costs as much as that many words of an arc gathered for all.
-PAIR_COST = 3
+#: An arc followed for one source, or so many nodes marked for it, costs as much as that many words of an arc gathered for all.
+PAIR_COST, PAIR_NODES = 3, 20
 #: Words of a sweep over a distributed graph, and its sources.
 SWEEP_WORDS = 8
 SWEEP = 64 * SWEEP_WORDS
@@ -45,23 +45,25 @@ HUB_ARCS = 1_000_000
 
 
 class Graph:
-    """Arcs (src, dst), distinct, and vertices (id), which may include nodes without arcs. The arrays are made once."""
+    """Arcs (src, dst), distinct, and vertices (id), which may include nodes without arcs. The arrays are made once. symmetric: each arc is there both ways."""
 
-    def __init__(self, arcs: DataFrame, vertices: DataFrame | None = None, kernel_arcs: int = KERNEL_ARCS):
+    def __init__(self, arcs: DataFrame, vertices: DataFrame | None = None, kernel_arcs: int = KERNEL_ARCS, symmetric: bool = False):
         self.spark = arcs.sparkSession
         self.arcs = arcs.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint"))
-        found = vertices_of(self.arcs)
-        self._held, self._more = False, None if vertices is None else vertices.select(F.col("id").cast("bigint"))
-        self.vertices = found if self._more is None else found.union(self._more).distinct()
+        self._symmetric, self._held, self._more = symmetric, False, None if vertices is None else vertices.select(F.col("id").cast("bigint"))
+        self.vertices = self._ends(self.arcs)
         self.kernel_arcs, self._arrays, self._files, self._nodes, self._spread = kernel_arcs, None, None, None, None
 
+    def _ends(self, arcs: DataFrame) -> DataFrame:
+        found = arcs.select(F.col("src").alias("id")).distinct() if self._symmetric else vertices_of(arcs)
+        return found if self._more is None else found.union(self._more).distinct()
+
     def hold(self) -> None:
         """Write arcs and vertices once, so that what they are derived from isn't read again by each step."""
         if not self._held:
             self._held = True
             arcs = settled(self.arcs, "arcs")
-            found = vertices_of(arcs)
-            self.arcs, self.vertices = arcs, settled(found if self._more is None else found.union(self._more).distinct(), "vertices")
+            self.arcs, self.vertices = arcs, settled(self._ends(arcs), "vertices")
 
     def node_count(self) -> int:
         self.hold()
@@ -178,10 +180,9 @@ def levels(arrays: tuple, sources: np.ndarray) -> Iterator[tuple[int, np.ndarray
     near = _near(first_out, out, at, words)
     while len(front):
         yield dist, front, fresh
+        wide, fronts, parts = False, [np.empty(0, np.int64)], [np.empty((0, words), np.uint64)]
         if (bits := next(near, None)) is not None:
             to = np.flatnonzero(np.bitwise_or.reduce(bits, axis=0))
-            whole = [slice(k, k + ROWS) for k in range(0, len(to), ROWS)]
-            parts = [np.ascontiguousarray(bits[:, to[g]].T) & ~seen[to[g]] for g in whole]
         else:
             size = first_out[front + 1] - first_out[front]
             wide = 4 * int(size.sum()) > len(out)
@@ -191,7 +192,6 @@ def levels(arrays: tuple, sources: np.ndarray) -> Iterator[tuple[int, np.ndarray
                 mark = np.zeros(len(ids), bool)
                 mark[out[stretches(first_out[front], size)]] = True
                 to = np.flatnonzero(mark)
-            to = to[(seen[to] != every).any(1)]
             if len(front) == len(ids):
                 now = fresh
             else:
@@ -208,15 +208,32 @@ def levels(arrays: tuple, sources: np.ndarray) -> Iterator[tuple[int, np.ndarray
                 sent = mark.take(arcs)
                 before = np.append(0, np.cumsum(sent))
                 arcs, start, end = arcs[sent], before[start], before[end]
-            whole = [slice(k, k + ROWS) for k in range(0, len(to), ROWS)]
-            parts = [_gathered(now, arcs, start[g], end[g] - start[g], every & ~seen[to[g]]) for g in whole]
-            if now is board:
-                now[front] = 0
-        some = [part.any(1) for part in parts]
-        front = np.concatenate([np.empty(0, np.int64), *[to[g][s] for g, s in zip(whole, some)]])
-        fresh = np.concatenate([np.empty((0, words), np.uint64), *[part if s.all() else part[s] for part, s in zip(parts, some)]])
-        for k in range(0, len(front), ROWS):
-            seen[front[k : k + ROWS]] |= fresh[k : k + ROWS]
+        # the state of some nodes is read and written while it is near
+        for k in range(0, len(to), ROWS):
+            own = to[k : k + ROWS]
+            if bits is not None:
+                held = seen.take(own, axis=0)
+                part = np.ascontiguousarray(bits[:, own].T) & ~held
+                some = np.flatnonzero(part.any(1))
+            else:
+                from_, size = start[k : k + ROWS], end[k : k + ROWS] - start[k : k + ROWS]
+                order = np.argsort(-size, kind="stable")
+                held = seen.take(own[order], axis=0)
+                lack = every & ~held
+                if wide and not (rest := lack.any(1)).all():  # nodes with every bit rest
+                    order, held, lack = order[rest], held[rest], lack[rest]
+                own, part = own[order], _gathered(now, arcs, from_[order], size[order], lack)
+                some = np.flatnonzero(part.any(1))
+                some = some[np.argsort(own[some])]
+            if bits is None or len(some) < len(own):
+                own, part, held = own[some], part[some], held[some]
+            held |= part
+            seen[own] = held
+            fronts.append(own)
+            parts.append(part)
+        if bits is None and now is board:
+            now[front] = 0
+        front, fresh = np.concatenate(fronts), np.concatenate(parts)
         dist += 1
 
 
@@ -225,7 +242,7 @@ def _near(first_out: np.ndarray, out: np.ndarray, at: np.ndarray, words: int) ->
     from_, size = first_out[at], first_out[at + 1] - first_out[at]
     nodes, ends, own = at, np.arange(1, len(at) + 1), size
     for _ in range(2):
-        if PAIR_COST * int(own.sum()) > words * len(out):
+        if PAIR_COST * (int(own.sum()) + len(at) * (len(first_out) - 1) // PAIR_NODES) > words * len(out):
             return
         bytes_, mark = np.zeros((words, len(first_out) - 1, 8), np.uint8), np.zeros(len(first_out) - 1, np.uint8)
         starts = first_out[nodes]
@@ -244,16 +261,15 @@ def _near(first_out: np.ndarray, out: np.ndarray, at: np.ndarray, words: int) ->
 
 
 def _gathered(now: np.ndarray, src: np.ndarray, start: np.ndarray, size: np.ndarray, need: np.ndarray) -> np.ndarray:
-    """For each node those of the bits that it needs which its arcs bring from now, src from start on: the nth arcs of all nodes together, those of hubs at once. Nodes with every bit rest."""
-    out = np.zeros((len(start), now.shape[1]), np.uint64)
-    for k in np.flatnonzero(size > HUB).tolist():
+    """For each node those of the bits that it needs which its arcs bring from now, src from start on: the nth arcs of all nodes together, those of hubs at once. Sizes fall."""
+    out = np.zeros_like(need)
+    hubs = int(np.searchsorted(-size, -HUB, "left"))
+    for k in range(hubs):
         for at in range(int(start[k]), int(start[k] + size[k]), ROWS):
             out[k] |= np.bitwise_or.reduce(now.take(src[at : min(at + ROWS, int(start[k] + size[k]))], axis=0), axis=0)
-    out &= need
-    rows = np.flatnonzero(size <= HUB)
-    rows = rows[np.argsort(-size[rows], kind="stable")]
-    start, size, lack = start[rows], size[rows], need[rows]
-    got, n = np.zeros_like(lack), 0
+    out[:hubs] &= need[:hubs]
+    rows, start, size, lack = np.arange(hubs, len(size)), start[hubs:], size[hubs:], need[hubs:]
+    got, n = out[hubs:], 0
     while len(rows):
         # up to 4, 6, 9, 13, ... arcs, then nodes with all arcs or all bits leave, if they are enough to be worth it
         upto = min(max(4, n + n // 2), int(size[0]))
@@ -264,7 +280,13 @@ def _gathered(now: np.ndarray, src: np.ndarray, start: np.ndarray, size: np.ndar
         n, left = upto, size > upto
         held = int(np.count_nonzero(left))  # the first ones, as sizes fall
         left[:held] = (lack[:held] & ~got[:held]).any(1)
-        if 8 * np.count_nonzero(left) < 7 * len(rows):
+        staying = int(np.count_nonzero(left))
+        if not staying:
+            got &= lack
+            if len(rows) < len(out) - hubs:
+                out[rows] = got
+            break
+        if 8 * staying < 7 * len(rows):
             gone = ~left
             out[rows[gone]] = got[gone] & lack[gone]
             rows, start, size, lack, got = rows[left], start[left], size[left], lack[left], got[left]
