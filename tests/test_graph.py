@@ -543,3 +543,33 @@ def test_arrays_are_sorted_as_one_number_an_arc(monkeypatch):
     ids, src, dst = np.array([5, 7, 9]), np.array([2, 0, 1, 0]), np.array([0, 2, 0, 1])
     got = traversal.sorted_arrays(ids, src, dst)
     assert [x.tolist() for x in got[1:3]] == [[0, 2, 3, 4], [1, 2, 0, 0]] and got[3] is None and got[5].tolist() == [2, 1, 1]
+
+
+def test_graphs_beyond_a_task_are_searched_by_parts(spark, monkeypatch):
+    """No sweep where the components fit: parts of several components, isolated nodes, ids far apart, hubs; both kinds of arcs; stars aren't needed."""
+    from wayfare.operators import traversal
+
+    rows = [(a + c, b + c) for c in (0, 1000, -70000, 1 << 40) for a, b in random_graph(spark, 60, 90, 41)] + [(5000, 5000 + k) for k in range(30)]
+    more = spark.range(6000, 6004)
+    monkeypatch.setattr(traversal, "PART_NODES", 70)
+    monkeypatch.setattr(traversal, "PIECE_ARCS", 90)
+    for one, kinds in ((arcs(spark, rows).distinct(), [False]), (etl.symmetrized(arcs(spark, rows)), [False, True])):
+        g = Graph(one, more)
+        weights = g.vertices.select("id", (F.col("id") % 5 + 0.5).alias("weight"))
+
+        def tables(g):
+            out = (pairs(g), pairs(g, g.vertices.filter("id % 7 = 0")), histogram(g), histogram(g, arcs=False), traversal.sums_and_farness(g, weights), structure.components(g), traversal.frontier_pairs(g))
+            return [sorted(map(tuple, t.select(sorted(t.columns)).collect())) for t in out]
+
+        want = tables(g)
+        for symmetric in kinds:
+            with monkeypatch.context() as m:
+                m.setattr(traversal, "swept", None)
+                m.setattr(structure, "spanned", None)
+                m.setattr(traversal.Graph, "reader", lambda self: None)
+                m.setattr(traversal.Graph, "files", lambda self: None)
+                h = Graph(one, more, -1, symmetric)
+                got = tables(h)
+                assert len(h.parts().names) > 1 and len(h.parts().starts()) > 3
+            assert [x for x in got if x is not got[4]] == [x for x in want if x is not want[4]]
+            assert [x[:2] for x in got[4]] == [x[:2] for x in want[4]] and [x[2] for x in got[4]] == pytest.approx([x[2] for x in want[4]])
