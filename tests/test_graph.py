@@ -573,3 +573,18 @@ def test_graphs_beyond_a_task_are_searched_by_parts(spark, monkeypatch):
                 assert len(h.parts().names) > 1 and len(h.parts().starts()) > 3
             assert [x for x in got if x is not got[4]] == [x for x in want if x is not want[4]]
             assert [x[:2] for x in got[4]] == [x[:2] for x in want[4]] and [x[2] for x in got[4]] == pytest.approx([x[2] for x in want[4]])
+
+
+def test_arcs_of_symmetric_graphs_are_made_distinct_once(spark):
+    from wayfare.graphs import arcs_of
+
+    plans = [arcs_of(spark, "/root/testdata/sf0.001", "part_next", once)._jdf.queryExecution().optimizedPlan().toString() for once in (True, False)]
+    assert [p.count("Aggregate") for p in plans] == [1, 0]
+
+
+def test_degrees_counted_before_are_taken(spark):
+    rows = etl.symmetrized(arcs(spark, [(0, k) for k in range(1, 9)] + [(3, 4)]))
+    g = Graph(rows, spark.range(20, 22), symmetric=True)
+    want = sorted(map(tuple, structure.degrees(g).collect()))
+    assert g.places() is not None and "/places-" in structure.degrees(g).inputFiles()[0]
+    assert sorted(map(tuple, structure.degrees(g).collect())) == want and dict(want)[0] == 8 and dict(want)[20] == 0

@@ -60,3 +60,15 @@ def test_query_beyond_the_broadcast_needs_no_sweeps(spark, monkeypatch, name):
     monkeypatch.setattr(traversal.Graph, "arrays", lambda self: None)
     monkeypatch.setattr(traversal, "swept", None)
     test_query_equals_sql(spark, name)
+
+
+@pytest.mark.parametrize("name", ["bfs_accounting"])
+def test_query_beyond_a_task_needs_no_sweeps(spark, monkeypatch, name):
+    """As on graphs that no task can hold: searches go by parts of whole components."""
+    from wayfare.operators import structure, traversal
+
+    monkeypatch.setattr(traversal.Graph, "reader", lambda self: None)
+    monkeypatch.setattr(traversal.Graph, "files", lambda self: None)
+    monkeypatch.setattr(traversal, "swept", None)
+    monkeypatch.setattr(structure, "spanned", None)
+    test_query_equals_sql(spark, name)
