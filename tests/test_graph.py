@@ -588,3 +588,25 @@ def test_degrees_counted_before_are_taken(spark):
     want = sorted(map(tuple, structure.degrees(g).collect()))
     assert g.places() is not None and "/places-" in structure.degrees(g).inputFiles()[0]
     assert sorted(map(tuple, structure.degrees(g).collect())) == want and dict(want)[0] == 8 and dict(want)[20] == 0
+
+
+@pytest.mark.parametrize("joins", [False, True])
+def test_the_last_snapshot_needs_no_batches(spark, kernel_off, monkeypatch, joins):
+    """It equals the one that all batches in turn lead to, on several components with isolated nodes, also for a last batch that isn't full."""
+    from wayfare.operators import traversal
+    from wayfare.streaming import progressive
+
+    rows = etl.symmetrized(arcs(spark, [x for x in random_graph(spark, 25, 30, 43) if x[0] != x[1]] + [(50, 51), (51, 52)]))
+    g = Graph(rows, spark.range(60, 63))
+    n, written, plain = g.node_count(), [], progressive.settled
+    for _, state in progressive.snapshots(g, 4):
+        pass
+    want = sorted((n, r["rank"], r["node"]) for r in state.collect())
+    if joins:
+        monkeypatch.setattr(traversal, "FILE_ARCS", -1)
+        g = kernel_off(rows, spark.range(60, 63))
+    monkeypatch.setattr(progressive, "snapshots", None)
+    monkeypatch.setattr(progressive, "settled", lambda df, label: written.append(label) or plain(df, label))
+    for batches in (None, -(-n // 4)):
+        assert sorted(map(tuple, snapshot(g, batches, 4).select("processed_count", "rank", "node").collect())) == want
+    assert written == 2 * ["farness", "progress"]
