@@ -610,3 +610,16 @@ def test_the_last_snapshot_needs_no_batches(spark, kernel_off, monkeypatch, join
     for batches in (None, -(-n // 4)):
         assert sorted(map(tuple, snapshot(g, batches, 4).select("processed_count", "rank", "node").collect())) == want
     assert written == 2 * ["farness", "progress"]
+
+
+def test_many_rounds_of_parts_are_fewer_tasks(spark, monkeypatch):
+    from wayfare.operators import traversal
+
+    monkeypatch.setattr(traversal, "WORDS", 1)
+    monkeypatch.setattr(traversal, "MANY_ROUNDS", 3)
+    monkeypatch.setattr(traversal.Graph, "reader", lambda self: None)
+    slots = spark.sparkContext.defaultParallelism
+    g = undirected(spark, [(k, k + 1) for k in range(64 * 7 * slots)])  # one node more than fills seven rounds
+    found = histogram(g, arcs=False)
+    assert found.rdd.getNumPartitions() == 2 * slots
+    assert found.agg(F.sum("cnt")).first()[0] == (64 * 7 * slots + 1) ** 2
