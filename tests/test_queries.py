@@ -62,7 +62,7 @@ def test_query_beyond_the_broadcast_needs_no_sweeps(spark, monkeypatch, name):
     test_query_equals_sql(spark, name)
 
 
-@pytest.mark.parametrize("name", ["bfs_accounting", "estimate_error"])
+@pytest.mark.parametrize("name", ["bfs_accounting", "estimate_error", "threshold_topk", "precision_at_k"])
 def test_query_beyond_a_task_needs_no_sweeps(spark, monkeypatch, name):
     """As on graphs that no task can hold: searches go by parts of whole components."""
     from wayfare.operators import structure, traversal
